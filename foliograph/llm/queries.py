@@ -5,13 +5,77 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliograph.llm import encoding, leaks
-from foliograph.sources import load
+from foliograph.llm import encoding, frequencies, leaks, lookalikes, residue, similar_sets
+from foliograph.sources import latest_rows, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _readings(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    return latest_rows(load(spark, base, "page_metadata"), "page_id", list(columns))
+
+
+def p1_terms(spark: SparkSession, base: str) -> DataFrame:
+    """Every tag and category with its occurrences, records and mark."""
+    rows = _readings(spark, base, "tags", "category")
+    counts = frequencies.term_frequencies(rows, "page_id", {"tags": "array", "category": "string"})
+    total = load(spark, base, "page_metadata").agg(F.countDistinct("page_id"))
+    return frequencies.mark_terms(counts, total)
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Tags and categories too rare or too common to place a page by."""
+    return p1_terms(spark, base).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
+
+
+#: Share in common and least number of distinct values, by field.
+_SIMILAR = {"tags": ("0.6", 4), "wikilinks": ("0.7", 5)}
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of page readings with similar tags or wikilinks."""
+    out = None
+    for field, (share, least) in _SIMILAR.items():
+        pairs = similar_sets.similar_records(_readings(spark, base, field), "page_id", field, share, least)
+        pairs = pairs.select(F.lit(field).alias("field"), F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def p3_links(spark: SparkSession, base: str) -> DataFrame:
+    """Each page reading with the class of its set and its number of similar readings."""
+    out = None
+    for field, (share, least) in _SIMILAR.items():
+        links = similar_sets.similar_links(_readings(spark, base, field), "page_id", field, share, least)
+        links = links.select(F.lit(field).alias("field"), F.col("record").alias("page_id"), F.col("class").alias("class_id"), "links")
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
+def _titles_and_links(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    entries = latest_rows(load(spark, base, "publish_entries"), "entry_id", ["graph_path", "title"])
+    pages = _readings(spark, base, "graph_path", "wikilinks")
+    titles = entries.select(F.col("graph_path").alias("scope"), F.col("entry_id").alias("id"), F.col("title").alias("text"))
+    links = pages.select(
+        F.col("graph_path").alias("scope"), F.col("page_id").alias("id"), F.explode(F.array_distinct("wikilinks")).alias("text")
+    )
+    return titles, links
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Titles and links that look like another title but differ as strings."""
+    return lookalikes.look_alike_pairs(*_titles_and_links(spark, base))
+
+
+def p4_forms(spark: SparkSession, base: str) -> DataFrame:
+    """The one form of every distinct title and link that isn't its own form."""
+    titles, links = _titles_and_links(spark, base)
+    texts = titles.select("text").unionByName(links.select("text")).filter(F.col("text") != "").distinct()
+    return lookalikes.with_form(texts, "text").filter(F.col("form") != F.col("text"))
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(load(spark, base, "documents"))
@@ -27,13 +91,51 @@ def p8_spans(spark: SparkSession, base: str) -> DataFrame:
     return leaks.leaked_spans(load(spark, base, "documents"), load(spark, base, "benchmark"))
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that are template residue, filler or error pages."""
+    return residue.find_residue(load(spark, base, "documents")).select("doc_id")
+
+
+def p9_kept(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that are left without them."""
+    return residue.without_residue(load(spark, base, "documents")).select("doc_id", "source", "lang")
+
+
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_terms": p1_terms,
+    "p3_found": p3_found,
+    "p3_links": p3_links,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_found": p9_found,
+    "p9_kept": p9_kept,
 }
 
+_TERMS = """
+    m AS (SELECT page_id, any_value(tags) AS tags, any_value(category) AS category FROM page_metadata GROUP BY page_id),
+    v AS (SELECT 'tags' AS field, unnest(tags) AS term, page_id FROM m UNION ALL SELECT 'category', category, page_id FROM m),
+    t AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT page_id) AS records FROM v WHERE term <> '' GROUP BY ALL),
+    k AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * (SELECT count(*) FROM m) THEN 'common' END AS mark FROM t)
+"""
+
+_SETS = """
+    m AS (SELECT page_id, any_value(tags) AS tags, any_value(wikilinks) AS wikilinks FROM page_metadata GROUP BY page_id),
+    v AS (SELECT DISTINCT 'tags' AS field, page_id, unnest(tags) AS x FROM m UNION SELECT 'wikilinks', page_id, unnest(wikilinks) FROM m),
+    s AS (SELECT field, page_id, count(*) AS n FROM v WHERE x <> '' GROUP BY ALL HAVING n >= CASE field WHEN 'tags' THEN 4 ELSE 5 END),
+    c AS (SELECT v.field, v.page_id AS a, w.page_id AS b, count(*) AS o
+          FROM v JOIN v AS w ON v.field = w.field AND v.x = w.x AND v.page_id < w.page_id WHERE v.x <> '' GROUP BY ALL),
+    p AS (SELECT c.field, a, b FROM c JOIN s ON s.field = c.field AND s.page_id = a JOIN s AS u ON u.field = c.field AND u.page_id = b
+          WHERE o * 10 >= CASE c.field WHEN 'tags' THEN 6 ELSE 7 END * (s.n + u.n - o))
+"""
+
 SQL: dict[str, str] = {
+    "p1_terms": f"WITH {_TERMS} SELECT * FROM k",
+    "p1_found": f"WITH {_TERMS} SELECT field, term, mark FROM k WHERE mark IS NOT NULL",
+    "p3_found": f"WITH {_SETS} SELECT field, a AS page_id_a, b AS page_id_b FROM p",
     "p8_found": r"""
         WITH doc AS (
             SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
