@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import encoding, frequencies, leaks, lookalikes, residue, similar_sets
+from foliograph.llm import encoding, frequencies, leaks, lookalikes, markup, pii, residue, similar_sets
 from foliograph.sources import latest_rows, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,30 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return p1_terms(spark, base).filter(F.col("mark").isNotNull()).select("field", "term", "mark")
 
 
+#: Tables with marked-up text: their key and text column.
+_MARKED = {"graph_pages": ("page_id", "raw_content"), "page_bodies": ("body_id", "body")}
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The kinds of foreign markup each page and body has."""
+    out = None
+    for table, (key, text) in _MARKED.items():
+        found = markup.markup_elements(load(spark, base, table), key, text)
+        found = found.select(F.lit(table).alias("src_table"), F.col(key).cast("long").alias("record_id"), "markup", "element")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def p2_clean(spark: SparkSession, base: str) -> DataFrame:
+    """Every page and body as clean Markdown."""
+    out = None
+    for table, (key, text) in _MARKED.items():
+        texts = markup.clean_texts(load(spark, base, table), key, text)
+        texts = texts.select(F.lit(table).alias("src_table"), F.col(key).cast("long").alias("record_id"), "clean")
+        out = texts if out is None else out.unionByName(texts)
+    return out
+
+
 #: Share in common and least number of distinct values, by field.
 _SIMILAR = {"tags": ("0.6", 4), "wikilinks": ("0.7", 5)}
 
@@ -76,6 +100,16 @@ def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     return lookalikes.with_form(texts, "text").filter(F.col("form") != F.col("text"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Personal information in the bodies, as written."""
+    return pii.find_personal(load(spark, base, "page_bodies"), "body_id", "body").select("body_id", "kind", "value").distinct()
+
+
+def p6_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every body with typed placeholders in place of personal information."""
+    return pii.redact(load(spark, base, "page_bodies"), "body_id", "body")
+
+
 def p7_ids(spark: SparkSession, base: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return encoding.encode_corpus(load(spark, base, "documents"))
@@ -104,10 +138,14 @@ def p9_kept(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
