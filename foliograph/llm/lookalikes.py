@@ -35,13 +35,13 @@ _JOINED = ("ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ", "ﬅ", "ﬆ", "Ǆ", "ǅ", "ǆ", "
 _MATH_LOOK = ("<font>",)
 
 #: Characters without width besides those of category Cf.
-_NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
+_NO_WIDTH = frozenset(map(chr, (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0)))
 
 
 def _compatible(c: str) -> str | None:
     """What a character stands for if only its width, kind of blank or joining differs."""
     category = unicodedata.category(c)
-    if c in _NO_WIDTH or category == "Cf" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef":
+    if c in _NO_WIDTH or category == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
         return ""
     if category in ("Zs", "Zl", "Zp") or c == "\x85":
         return " "
