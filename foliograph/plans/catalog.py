@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.plans import references
+from foliograph.plans import pages, references
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {**references.QUERIES}
-SQL: dict[str, str] = {**references.SQL}
+QUERIES: dict[str, Query] = {**references.QUERIES, **pages.QUERIES}
+SQL: dict[str, str] = {**references.SQL, **pages.SQL}
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    """Orphan references of all tables."""
-    return references.p5_found(spark, base)
+    """Pages selected around the first seed of every manifest."""
+    return pages.r_subgraph(spark, base)
