@@ -199,7 +199,7 @@ def content_hash(body: Column) -> Column:
 
 def json_quote(c: Column) -> Column:
     """A string as JSON writes it."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1))
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -98,14 +98,16 @@ def resolve(wanted: DataFrame, pages: DataFrame, title: str = "title", file: str
     A named file is taken or nothing is; otherwise the title's five possible file names are tried in order. The
     names of ``pages`` are joined by equality and the first match in order wins, one row per row of ``wanted``.
     """
-    rows = wanted.withColumn("_row", F.monotonically_increasing_id())
     named = present(F.col(file)) if file else F.lit(False)
-    by_title = F.transform(T.file_candidates(F.col(title)), lambda c: F.concat(c, F.lit(".md")))
-    names = F.when(named, F.array(F.col(file) if file else F.lit(None).cast("string"))).otherwise(by_title)
-    tries = rows.select("_row", "graph", F.posexplode(F.array_distinct(names)).alias("rank", "_name"))
+    rows = wanted.withColumn("_file", F.when(named, F.col(file) if file else F.lit(None).cast("string")).otherwise(""))
+    by_title = F.transform(T.file_candidates(F.col("_title")), lambda c: F.concat(c, F.lit(".md")))
+    names = F.when(F.col("_file") != "", F.array("_file")).otherwise(by_title)
+    keys = rows.select(F.col("graph"), F.col(title).alias("_title"), "_file").distinct()
+    tries = keys.select("graph", "_title", "_file", F.posexplode(F.array_distinct(names)).alias("rank", "_name"))
     files = pages.select("graph", F.col("file").alias("_name")).distinct()
-    hits = tries.join(files, ["graph", "_name"]).groupBy("_row").agg(F.min_by("_name", "rank").alias("page_file"))
-    return rows.join(hits, "_row", "left").drop("_row")
+    hits = tries.join(files, ["graph", "_name"]).groupBy("graph", "_title", "_file").agg(F.min_by("_name", "rank").alias("page_file"))
+    hits = hits.withColumnRenamed("_title", title) if title != "_title" else hits
+    return rows.join(hits, ["graph", title, "_file"], "left").drop("_file")
 
 
 def top_sections(scored: DataFrame, by: list[str], top: int) -> DataFrame:
