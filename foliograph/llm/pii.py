@@ -210,9 +210,10 @@ def _disclosure(together: Column, term: Column, frame: Column, every: Column) ->
     return F.when(together > 0, F.log2(together * every / (term * frame)))
 
 
-def family_terms(candidates: DataFrame, least_bits: float, least_share: float) -> DataFrame:
+def family_terms(candidates: DataFrame, threshold: float, least_share: float) -> DataFrame:
     """(``term``, ``bits``): terms that reveal a family by the frames they occur in.
 
+    ``threshold`` is a share of the most a frame can tell, minus the logarithm of how frequent frames are.
     ``least_share`` of a term's own occurrences must be framed, so that a frequent word isn't taken for a name
     because of a stray frame, and at most half of them may lead another term. Pairs count for their second
     term, beside the term alone.
@@ -228,12 +229,12 @@ def family_terms(candidates: DataFrame, least_bits: float, least_share: float) -
     return (
         uses.select("term", "n", "framed", "leads", bits.alias("bits"))
         .filter(F.col("leads") * 2 <= F.col("n"))
-        .filter((F.col("bits") >= least_bits) & (F.col("framed") >= F.col("n") * least_share))
+        .filter((F.col("bits") >= -F.log2(frames / every) * threshold) & (F.col("framed") >= F.col("n") * least_share))
         .select("term", "bits")
     )
 
 
-def given_terms(pairs: DataFrame, alone: DataFrame, families: DataFrame, least_bits: float, least_share: float) -> DataFrame:
+def given_terms(pairs: DataFrame, alone: DataFrame, families: DataFrame, threshold: float, least_share: float) -> DataFrame:
     """(``term``, ``bits``): terms that reveal a given name by standing with families."""
     uses = alone.groupBy(F.col("second").alias("term")).agg(F.count("*").alias("n"))
     with_family = (
@@ -247,18 +248,18 @@ def given_terms(pairs: DataFrame, alone: DataFrame, families: DataFrame, least_b
     return (
         with_family.join(uses, "term")
         .select("term", "n", "together", _disclosure(F.col("together"), F.col("n"), framed, every).alias("bits"))
-        .filter((F.col("bits") >= least_bits) & (F.col("together") >= F.col("n") * least_share))
+        .filter((F.col("bits") >= -F.log2(framed / every) * threshold) & (F.col("together") >= F.col("n") * least_share))
         .select("term", "bits")
     )
 
 
-def find_names(seen: DataFrame, key: str, least_bits: float = 2.0, family_share: float = 0.05, given_share: float = 0.5) -> DataFrame:
+def find_names(seen: DataFrame, key: str, threshold: float = 0.27, family_share: float = 0.05, given_share: float = 0.5) -> DataFrame:
     """(``key``, ``begin``, ``end``, ``value``) of the names among the candidates of ``seen``."""
     candidates = seen.select(F.col(key), F.explode("names").alias("c")).select(key, "c.*")
-    families = cut_lineage(family_terms(candidates.select("second", "begin", "end", "framed", "leads"), least_bits, family_share))
+    families = cut_lineage(family_terms(candidates.select("second", "begin", "end", "framed", "leads"), threshold, family_share))
     pairs = candidates.filter(F.col("end") > F.col("begin")).select(key, "first", "second", "begin", "end", "value")
     alone = candidates.filter(F.col("end") == F.col("begin")).select("second")
-    givens = given_terms(pairs, alone, families, least_bits, given_share)
+    givens = given_terms(pairs, alone, families, threshold, given_share)
     named = pairs.join(families.select(F.col("term").alias("second")), "second", "left_semi")
     with_initial = named.filter(F.col("first") == "")
     with_given = named.filter(F.col("first") != "").join(givens.select(F.col("term").alias("first")), "first", "left_semi")
