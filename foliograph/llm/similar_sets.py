@@ -75,8 +75,16 @@ def set_classes(records: DataFrame, key: str, values: str, least: int) -> DataFr
     return sets.join(first, "items").select("class", "record", "items")
 
 
+#: What a set is to its partner in a subset's key: the smaller, the larger, or of the same size.
+_SMALLER, _LARGER, _EQUAL = 0, 1, 2
+
+
 def _subset_keys(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
-    """(``key``, ``class``, ``size``, ``partner``) of every subset of every small set."""
+    """(``key``, ``entry``) of every subset of every small set.
+
+    A key stands for a subset and the two sizes it is enough for; ``entry`` is the class times 4 plus the role
+    of the set, so that a row is two numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,39 +100,34 @@ def _subset_keys(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
                     chosen = needed_overlap(size, partner, share)
                     if chosen > size:
                         continue
+                    role = _EQUAL if size == partner else _SMALLER if size < partner else _LARGER
                     choices = _choices(size, chosen)
-                    for at in range(0, len(rows), max(1, 200_000 // len(choices))):
-                        part = slice(at, at + max(1, 200_000 // len(choices)))
+                    step = max(1, 200_000 // len(choices))
+                    for at in range(0, len(rows), step):
                         # The sum of the hashes of a subset is its key: the same in whatever order it is taken.
-                        total = tokens[part][:, choices].sum(axis=2, dtype=np.uint64)
+                        total = tokens[at : at + step][:, choices].sum(axis=2, dtype=np.uint64)
                         low, high = min(size, partner), max(size, partner)
                         keys = _mix(total + np.uint64(low * 65537 + high)).view(np.int64).ravel()
-                        n = len(keys)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(keys),
-                                pa.array(np.repeat(ids[rows[part]], len(choices))),
-                                pa.array(np.full(n, size, dtype=np.int32)),
-                                pa.array(np.full(n, partner, dtype=np.int32)),
-                            ],
-                            names=["key", "class", "size", "partner"],
-                        )
+                        entries = np.repeat(ids[rows[at : at + step]] * 4 + role, len(choices))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(entries)], names=["key", "entry"])
 
     hashed = sets.select("class", F.transform("items", lambda v: F.xxhash64(v)).alias("tokens"))
-    return hashed.mapInArrow(run, "key bigint, class bigint, size int, partner int")
+    return hashed.mapInArrow(run, "key bigint, entry bigint")
 
 
 def _small_pairs(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
-    """Classes of small sets that meet in a subset."""
+    """Classes of small sets that meet in a subset.
+
+    Both sides of the join are the same rows, shuffled once: the condition is written so that no part of it can
+    be moved to one side.
+    """
     keys = _subset_keys(sets, share, least)
-    a = keys.select("key", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("partner").alias("partner_a"))
-    b = keys.select("key", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("partner").alias("partner_b"))
-    # Of a pair of different sizes the smaller set is on the left; of equal sizes the smaller class.
-    fits = (F.col("size_a") == F.col("partner_b")) & (F.col("size_b") == F.col("partner_a"))
-    once = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
-    a = a.filter(F.col("size_a") <= F.col("partner_a"))
-    b = b.filter(F.col("size_b") >= F.col("partner_b"))
-    return a.join(b, "key").filter(fits & once).select("a", "b").distinct()
+    a = keys.select("key", F.col("entry").alias("x"))
+    b = keys.select("key", F.col("entry").alias("y"))
+    roles = F.pmod("x", F.lit(4)) * 3 + F.pmod("y", F.lit(4))
+    meet = roles.isin(_SMALLER * 3 + _LARGER, _EQUAL * 3 + _EQUAL) & ((roles != _EQUAL * 3 + _EQUAL) | (F.col("x") < F.col("y")))
+    pairs = a.join(b, "key").filter(meet)
+    return pairs.select(F.shiftright("x", 2).alias("a"), F.shiftright("y", 2).alias("b")).distinct()
 
 
 def _large_pairs(sets: DataFrame, large: DataFrame, share: Fraction, least: int) -> DataFrame:
