@@ -131,8 +131,12 @@ def _small_pairs(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
 
 
 def _large_pairs(sets: DataFrame, large: DataFrame, share: Fraction, least: int) -> DataFrame:
-    """Pairs with at least one large set that share one of their rarest values."""
-    tokens = sets.select("class", F.size("items").alias("size"), F.explode("items").alias("token"))
+    """Pairs with at least one large set that share one of their rarest values.
+
+    Values are hashes here. Two values with one hash only make a list longer: what two sets share stays shared.
+    """
+    hashes = F.transform("items", lambda v: F.xxhash64(v))
+    tokens = sets.select("class", F.size("items").alias("size"), F.explode(hashes).alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("n"))
     ranked = (
         tokens.join(frequency, "token")
