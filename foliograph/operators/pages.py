@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.functions.stages import staged
 from foliograph.sources import latest_rows, present
 
 
@@ -45,18 +46,19 @@ def page_properties(pages: DataFrame) -> DataFrame:
     return pages.select("graph", "title", F.explode(T.properties(F.col("content"))).alias("key", "value"))
 
 
-def links_in_order(content: Column) -> Column:
-    """Links of a text with their place in it: array of (``dst``, ``weight``, ``seq``).
+def block_end(lines: Column) -> Column:
+    """Number of the first line (from 1) that is neither a property nor blank; 0 without one."""
+    content = F.transform(lines, lambda x: ~x.rlike("(?i)^[a-z0-9_-]+::") & (T.strip_blank(x) != ""))
+    return F.array_position(content, F.lit(True))
 
-    A link of a leading ``related::`` line weighs 2, any other 1; of a title that comes more than once the
-    greatest weight and the first place hold. Blank titles and journal days are no links.
+
+def links_in_order(lines: Column, end: Column) -> Column:
+    """Links of a page with their place in it: array of (``dst``, ``weight``, ``seq``).
+
+    A link of a ``related::`` line before line ``end`` weighs 2, any other 1. Blank titles and journal days are
+    no links.
     """
-    lines = T.lines_of(content)
-    # The property block ends at the first line that is neither a property nor blank.
-    ends = F.array_position(
-        F.transform(lines, lambda x: ~x.rlike("(?i)^[a-z0-9_-]+::") & (T.strip_blank(x) != "")), F.lit(True)
-    )
-    in_block = lambda i: (ends == 0) | (i + 1 < ends)
+    in_block = lambda i: (end == 0) | (i + 1 < end)
     of_line = F.transform(
         lines,
         lambda x, i: F.transform(
@@ -67,14 +69,20 @@ def links_in_order(content: Column) -> Column:
             ),
         ),
     )
-    every = F.flatten(of_line)
-    placed = F.transform(every, lambda e, i: F.struct(e["dst"].alias("dst"), e["weight"].alias("weight"), i.cast("int").alias("seq")))
+    placed = F.transform(F.flatten(of_line), lambda e, i: F.struct(e["dst"].alias("dst"), e["weight"].alias("weight"), i.cast("int").alias("seq")))
     return F.filter(placed, lambda e: (e["dst"] != "") & ~e["dst"].rlike(T.JOURNAL_DAY))
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
-    """(``graph``, ``src``, ``dst``, ``weight``, ``seq``): one row per page and title it links to, itself excluded."""
-    each = pages.select("graph", F.col("title").alias("src"), F.explode(links_in_order(F.col("content"))).alias("e"))
+    """(``graph``, ``src``, ``dst``, ``weight``, ``seq``): one row per page and title it links to, itself excluded.
+
+    Of a title that comes more than once the greatest weight and the first place hold. Pages without a link
+    never reach the line-by-line part.
+    """
+    linked = pages.filter(F.col("content").contains("[[")).select("graph", F.col("title").alias("src"), "content")
+    rows = staged(linked, ["graph", "src"], lines=T.lines_of(F.col("content")))
+    rows = staged(rows, ["graph", "src", "lines"], end=block_end(F.col("lines")))
+    each = rows.select("graph", "src", F.explode(links_in_order(F.col("lines"), F.col("end"))).alias("e"))
     return (
         each.filter(F.col("e.dst") != F.col("src"))
         .groupBy("graph", "src", F.col("e.dst").alias("dst"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.functions.stages import staged
 from foliograph.operators import transform as X
 from foliograph.operators.pages import resolve
 from foliograph.sources import present
@@ -37,7 +38,7 @@ def hydrated_bodies(pages: DataFrame, cache: DataFrame | None, sidecars: DataFra
     without its properties. Images become figures, or a note while they are missing. ``sidecars``: (graph,
     name, content) of their descriptions.
     """
-    rows = pages.withColumn("props", T.properties(F.col("content"))).withColumn("body", T.property_body(F.col("content")))
+    rows = staged(pages, pages.columns, props=T.properties(F.col("content")), body=T.property_body(F.col("content")))
     kind, doc = _prop(F.col("props"), "type"), _prop(F.col("props"), "tg-doc")
     if cache is None:
         return rows.withColumn("hydration", F.when(kind.isin("anchor", "image-anchor") & doc.isNotNull(), "missing"))
@@ -151,9 +152,8 @@ def _yaml(value: Column) -> Column:
     return T.json_quote(F.regexp_replace(value, r"[\[\]]", ""))
 
 
-def vault_page(content: Column, title: Column, source: Column, label: str = "page graph") -> Column:
+def vault_page(props: Column, body: Column, title: Column, source: Column, label: str = "page graph") -> Column:
     """A whole page of the vault: head, a note on where it comes from, and the body. ``label`` names the origin."""
-    props, body = T.properties(content), T.property_body(content)
     tags = F.coalesce(_prop(props, "tags"), _prop(props, "pageTags"))
     session, uri = _prop(props, "source_session"), _prop(props, "grounding_uri")
     line = lambda key, value: F.concat(F.lit(f"{key}: "), _yaml(value))
@@ -189,9 +189,14 @@ def vault_plan(selection: DataFrame, pages: DataFrame, label: str = "page graph"
     """
     file = "file" if "file" in selection.columns else None
     placed = resolve(selection, pages, file=file)
-    body = pages.select("graph", F.col("file").alias("page_file"), "content")
-    rows = placed.join(body, ["graph", "page_file"], "left")
-    text = vault_page(F.col("content"), F.col("title"), F.concat(F.lit("pages/"), "page_file"), label)
+    parts = staged(
+        pages.select("graph", F.col("file").alias("page_file"), "content"),
+        ["graph", "page_file"],
+        props=T.properties(F.col("content")),
+        body=T.property_body(F.col("content")),
+    )
+    rows = placed.join(parts, ["graph", "page_file"], "left")
+    text = vault_page(F.col("props"), F.col("body"), F.col("title"), F.concat(F.lit("pages/"), "page_file"), label)
     return rows.select(
         "graph",
         "title",

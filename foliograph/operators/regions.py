@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.functions.stages import staged
 
 #: The forms of anchors.
 HEADING = r"^(#{1,6})\s+(.+?)\s*\z"
@@ -134,16 +135,6 @@ def page_regions(pages: DataFrame, keys: list[str], content: str = "content") ->
     )
 
 
-def staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """``keep`` and ``columns``, each of which is computed once, whatever uses it later.
-
-    A projection may be merged into the next, and an expression that a lambda there refers to would then be
-    evaluated for every element. Rows that come from a generator are a border for that.
-    """
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_stage")
-    return df.select(*keep, one).select(*keep, *[F.col("_stage")[n].alias(n) for n in columns])
-
-
 def with_regions(pages: DataFrame, keys: list[str], lines: Column, **more: Column) -> DataFrame:
     """``keys``, ``lines``, ``regions`` and ``more`` (columns made from ``lines``), all computed once per page."""
     rows = staged(pages, keys, lines=lines)
