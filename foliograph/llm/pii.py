@@ -6,7 +6,9 @@ every capitalised term it is counted how often it occurs and how often in a fram
 a title or an initial, beside a contact, or as the local part of an address in the same text). A term whose
 pointwise mutual information with these frames exceeds the disclosure threshold reveals a family; a term that
 exceeds it with "stands before or behind a family" reveals a given name. A mention is a given name or initial
-with a family, and is generalised to a placeholder; terms below the thresholds stay as they are.
+with a family, and is generalised to a placeholder. The thresholds decide about mentions without a frame of
+their own; one that its own frame reveals (a title before both words, an initial, the local part of an address)
+counts whatever else its family word stands for in the corpus.
 """
 
 from __future__ import annotations
@@ -115,12 +117,13 @@ def structured(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: x[1])
 
 
-def name_candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool, bool]]:
-    """(first, second, begin, end, framed, leads): terms, and neighbouring terms that could be a name.
+def name_candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, bool, bool, int]]:
+    """(first, second, begin, end, framed, leads, own): terms, and neighbouring terms that could be a name.
 
     ``second`` is the possible family, ``first`` the possible given name, '' for an initial; a term alone has
     begin = end. ``framed`` tells that the place reveals a person, ``leads`` that the term alone stands right
-    before another, as given names do.
+    before another, as given names do. ``own`` tells what the frame says of this mention: 2 that it is a person, 1
+    that it is one unless its terms are plain words ('Plan B. Then', 'Sr. Software Engineer'), 0 nothing certain.
     """
     terms = [m for m in _TERM.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
     local = {fold(x) for kind, a, b in spans if kind == "email" for x in re.split(r"[^\w-]|_|\d", re.split(_AT + r"|[ ](?:at|AT)[ ]", text[a:b])[0])}
@@ -136,13 +139,20 @@ def name_candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[
         leads = gap == " " and not after.group().endswith(".") and not title
         if not initial:
             framed = not leads and (_titled(text, m.start(), before) or fold(word) in local)
-            out.append(("", word, m.start(), m.start(), framed, leads))
+            out.append(("", word, m.start(), m.start(), framed, leads, 0))
         if leads:
-            framed = initial or _titled(text, m.start(), before) or _beside_contact(text, after.end(), starts)
-            out.append(("" if initial else word, after.group(), m.start(), after.end(), framed, False))
+            titled = _titled(text, m.start(), before)
+            framed = initial or titled or _beside_contact(text, after.end(), starts)
+            sure = initial and titled or _in_address(word, after.group(), local)
+            own = 2 if sure else 1 if titled or initial and not _counts_off(text, m.start(), before) else 0
+            out.append(("" if initial else word, after.group(), m.start(), after.end(), framed, False, own))
         elif gap == ", " and not initial:
             other = "" if after.group().endswith(".") else after.group()
-            out.append((other, word, m.start(), after.end(), _titled(text, m.start(), before) or not other, False))
+            own = 2 if _in_address(after.group(), word, local) else 0
+            if not own and not other:
+                further = terms[k + 2].start() if k + 2 < len(terms) else -1
+                own = int(text[after.end() : further] != " " if further >= 0 else True)
+            out.append((other, word, m.start(), after.end(), _titled(text, m.start(), before) or not other, False, own))
     return out
 
 
@@ -154,13 +164,28 @@ def _titled(text: str, begin: int, before: re.Match | None) -> bool:
     return before.group().rstrip(".") in TITLES and gap in (" ", ". ")
 
 
+def _in_address(given: str, family: str, local: set[str]) -> bool:
+    """Whether the local part of an address in the text has the family and the given name, or the initial, as written."""
+    first, last = fold(given), fold(family)
+    if not first or not last:
+        return False
+    return last in local and first in local or first + last in local
+
+
+def _counts_off(text: str, begin: int, before: re.Match | None) -> bool:
+    """Whether a capitalised word or a number stands right before an initial, as in 'Plan B.'; another initial doesn't count."""
+    if begin > 1 and text[begin - 1] == " " and text[begin - 2].isdigit():
+        return True
+    return before is not None and text[before.end() : begin] == " " and not before.group().endswith(".")
+
+
 def _beside_contact(text: str, end: int, starts: dict[int, str]) -> bool:
     """Whether an e-mail address or phone number follows within a few signs."""
     return any(starts.get(end + k) in ("email", "phone") and not any(c.isalnum() for c in text[end : end + k]) for k in range(1, 5))
 
 
 _FOUND = "array<struct<kind:string,begin:int,end:int,value:string>>"
-_NAMES = "array<struct<first:string,second:string,begin:int,end:int,framed:boolean,leads:boolean,value:string>>"
+_NAMES = "array<struct<first:string,second:string,begin:int,end:int,framed:boolean,leads:boolean,own:int,value:string>>"
 
 
 def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,7 +196,7 @@ def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
     name_type = pa.list_(
         pa.struct(
             [("first", pa.string()), ("second", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]
-            + [("framed", pa.bool_()), ("leads", pa.bool_()), ("value", pa.string())]
+            + [("framed", pa.bool_()), ("leads", pa.bool_()), ("own", pa.int32()), ("value", pa.string())]
         )
     )
 
@@ -183,8 +208,8 @@ def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
                 found.append([{"kind": k, "begin": a, "end": b, "value": body[a:b]} for k, a, b in spans])
                 names.append(
                     [
-                        {"first": x, "second": y, "begin": a, "end": b, "framed": framed, "leads": leads, "value": body[a:b]}
-                        for x, y, a, b, framed, leads in name_candidates(body, spans)
+                        {"first": x, "second": y, "begin": a, "end": b, "framed": framed, "leads": leads, "own": own, "value": body[a:b]}
+                        for x, y, a, b, framed, leads, own in name_candidates(body, spans)
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
@@ -234,36 +259,76 @@ def family_terms(candidates: DataFrame, threshold: float, least_share: float) ->
     )
 
 
-def given_terms(pairs: DataFrame, alone: DataFrame, families: DataFrame, threshold: float, least_share: float) -> DataFrame:
-    """(``term``, ``bits``): terms that reveal a given name by standing with families."""
+def given_terms(with_family: DataFrame, alone: DataFrame, threshold: float, least_share: float) -> DataFrame:
+    """(``term``, ``bits``): terms that reveal a given name by standing with families, as the pairs of ``with_family`` do."""
     uses = alone.groupBy(F.col("second").alias("term")).agg(F.count("*").alias("n"))
-    with_family = (
-        pairs.filter(F.col("first") != "")
-        .join(families.select(F.col("term").alias("second")), "second", "left_semi")
-        .groupBy(F.col("first").alias("term"))
-        .agg(F.count("*").alias("together"))
-    )
+    met = with_family.filter(F.col("first") != "").groupBy(F.col("first").alias("term")).agg(F.count("*").alias("together"))
     every = uses.agg(F.sum("n")).scalar()
-    framed = with_family.agg(F.sum("together")).scalar()
+    framed = met.agg(F.sum("together")).scalar()
     return (
-        with_family.join(uses, "term")
+        met.join(uses, "term")
         .select("term", "n", "together", _disclosure(F.col("together"), F.col("n"), framed, every).alias("bits"))
         .filter((F.col("bits") >= -F.log2(framed / every) * threshold) & (F.col("together") >= F.col("n") * least_share))
         .select("term", "bits")
     )
 
 
-def find_names(seen: DataFrame, key: str, threshold: float = 0.27, family_share: float = 0.05, given_share: float = 0.5) -> DataFrame:
-    """(``key``, ``begin``, ``end``, ``value``) of the names among the candidates of ``seen``."""
+def own_frames(pairs: DataFrame, families: DataFrame, records: DataFrame, text: str) -> DataFrame:
+    """The pairs that their own frame reveals, whatever the thresholds say of their terms.
+
+    A pair with a doubtful frame counts unless each of its terms is also a plain word, written in lower case
+    somewhere in the corpus, or its first term is a family, learned or by its place in most framed pairs, and its
+    second isn't learned ('Dr. Family Foundry'). The texts are read for plain words only if there is such a pair.
+    """
+    framed = pairs.filter(F.col("own") > 0)
+    known = families.select(F.col("term").alias("second"), F.lit(True).alias("family"))
+    framed = cut_lineage(framed.join(known, "second", "left"))
+    settled = framed.filter((F.col("own") == 2) | F.col("family")).select(*pairs.columns)
+    doubtful = framed.filter((F.col("own") == 1) & F.col("family").isNull()).select(*pairs.columns)
+    if doubtful.isEmpty():
+        return settled
+    asked = doubtful.select(F.explode(F.array(F.lower("first"), F.lower("second"))).alias("word")).filter("word <> ''").distinct()
+    words = records.select(F.explode(F.array_distinct(F.split(F.col(text), r"[^\p{L}]+"))).alias("word")).filter(F.col("word") == F.lower("word"))
+    plain = cut_lineage(words.join(asked, "word", "left_semi").distinct())
+    last = (
+        framed.select(F.explode(F.array(F.struct(F.col("first").alias("term"), F.lit(-1).alias("n")), F.struct(F.col("second").alias("term"), F.lit(1).alias("n")))).alias("x"))
+        .groupBy("x.term")
+        .agg(F.sum("x.n").alias("n"))
+        .filter("n > 0")
+    )
+    families = families.select("term").unionByName(last.select("term")).distinct()
+    firsts, seconds = plain.select(F.col("word").alias("a"), F.lit(True).alias("plain_first")), plain.select(F.col("word").alias("b"), F.lit(True).alias("plain_second"))
+    revealed = (
+        doubtful.join(families.select(F.col("term").alias("first")), "first", "left_anti")
+        .join(firsts, F.lower("first") == F.col("a"), "left")
+        .join(seconds, F.lower("second") == F.col("b"), "left")
+        .filter(F.col("plain_second").isNull() | ((F.col("first") != "") & F.col("plain_first").isNull()))
+    )
+    return settled.unionByName(revealed.select(*pairs.columns))
+
+
+def find_names(
+    seen: DataFrame, key: str, records: DataFrame, text: str, threshold: float = 0.27, family_share: float = 0.05, given_share: float = 0.5
+) -> DataFrame:
+    """(``key``, ``begin``, ``end``, ``value``) of the names among the candidates of ``seen``, read from ``text`` of ``records``."""
     candidates = seen.select(F.col(key), F.explode("names").alias("c")).select(key, "c.*")
     families = cut_lineage(family_terms(candidates.select("second", "begin", "end", "framed", "leads"), threshold, family_share))
-    pairs = candidates.filter(F.col("end") > F.col("begin")).select(key, "first", "second", "begin", "end", "value")
+    pairs = candidates.filter(F.col("end") > F.col("begin")).select(key, "first", "second", "begin", "end", "value", "own")
     alone = candidates.filter(F.col("end") == F.col("begin")).select("second")
-    givens = given_terms(pairs, alone, families, threshold, given_share)
-    named = pairs.join(families.select(F.col("term").alias("second")), "second", "left_semi")
-    with_initial = named.filter(F.col("first") == "")
-    with_given = named.filter(F.col("first") != "").join(givens.select(F.col("term").alias("first")), "first", "left_semi")
-    return with_initial.unionByName(with_given).select(key, "begin", "end", "value")
+    revealed = cut_lineage(own_frames(pairs, families, records, text))
+    learned = pairs.join(families.select(F.col("term").alias("second")), "second", "left_semi")
+    places = [key, "begin", "end", "value"]
+    firsts = learned.select("first", *places).unionByName(revealed.select("first", *places)).dropDuplicates([key, "begin", "end"])
+    givens = given_terms(firsts, alone, threshold, given_share)
+    either = families.select(F.col("term").alias("second")).unionByName(revealed.select("second")).distinct()
+    with_given = (
+        pairs.filter(F.col("first") != "")
+        .join(either, "second", "left_semi")
+        .join(givens.select(F.col("term").alias("first")), "first", "left_semi")
+    )
+    with_initial = learned.filter(F.col("first") == "")
+    every = with_initial.select(*places).unionByName(with_given.select(*places)).unionByName(revealed.select(*places))
+    return every.dropDuplicates([key, "begin", "end"])
 
 
 def find_personal(records: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -276,7 +341,7 @@ def find_personal(records: DataFrame, key: str, text: str, **options) -> DataFra
     """
     seen = cut_lineage(inspect(records, key, text))
     formed = seen.select(F.col(key), F.explode("found").alias("x")).select(key, "x.kind", "x.begin", "x.end", "x.value")
-    names = find_names(seen, key, **options).select(key, F.lit("name").alias("kind"), "begin", "end", "value")
+    names = find_names(seen, key, records, text, **options).select(key, F.lit("name").alias("kind"), "begin", "end", "value")
     return formed.unionByName(names)
 
 

@@ -137,6 +137,18 @@ def test_names_are_learned(spark):
     assert not any(x in v for v in values for x in ("Press", "Foundry", "Norvale", "Ring", "The", "Dr"))
 
 
+def test_framed_names_of_skewed_families(spark):
+    extra = ["- The Harrowgale project moved the Harrowgale mill."] * 300
+    extra += ["- Then the Owner, the Press, the Engineer and the Foundry met near Norvale."] * 100 + [
+        "- Plan B. Then it rained, then it stopped. Go from A to B. Then rest.", "- The Sr. Software Engineer left.", "- software by an engineer",
+        "- Dr. Harrowgale Foundry", "- Plan B. Norvale opens", "- Ask Mr. Otto Quern.", "- Lea Quill: lea.quill@x.test", "- Owner Quill: o.quill@x.test", "- Norvale Press, 01632 960692",
+    ]
+    got = pii.find_personal(bodies(spark, extra), "body_id", "body").filter("kind = 'name'").collect()
+    values = [r["value"] for r in got]
+    assert len(values) == 4 * 3 * 5 + 2 and {"Otto Quern", "Lea Quill"} <= set(values)
+    assert sum("Harrowgale" in v for v in values) == 4 * 5
+
+
 def test_redacted(spark):
     got = {r["body_id"]: r["redacted"] for r in pii.redact(bodies(spark, ["a@b.test and 923-12-5068", None, ""]), "body_id", "body").collect()}
     assert got[0] == "- Thanks to Dr. [NAME] for it." and got[2] == "- [NAME] – [PHONE]"
