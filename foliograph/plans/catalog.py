@@ -15,5 +15,5 @@ SQL: dict[str, str] = {**references.SQL, **pages.SQL}
 
 
 def flagship(spark: SparkSession, base: str) -> DataFrame:
-    """Pages selected around the first seed of every manifest."""
+    """Pages selected around the seeds of every manifest."""
     return pages.r_subgraph(spark, base)

@@ -35,9 +35,9 @@ def _bodies(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, base: str) -> DataFrame:
-    """The first seed of every manifest."""
+    """Every seed of every manifest in its order; a title given twice stays twice."""
     seeds = _entries(spark, base).filter(F.col("tier") == "seed")
-    return seeds.groupBy("graph").agg(F.min_by("title", "entry_index").alias("title")).withColumn("seed_order", F.lit(0))
+    return seeds.select("graph", "title", F.col("entry_index").alias("seed_order"))
 
 
 def r_metadata(spark: SparkSession, base: str) -> DataFrame:
@@ -110,7 +110,7 @@ def r_page_recall(spark: SparkSession, base: str) -> DataFrame:
 
 
 def r_subgraph(spark: SparkSession, base: str) -> DataFrame:
-    """Pages selected around the first seed of every manifest."""
+    """Pages selected around the seeds of every manifest."""
     pages = _pages(spark, base)
     return subgraph.select_subgraph(P.outlinks(pages), pages, _seeds(spark, base), hub_outdegree=12)
 

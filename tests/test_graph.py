@@ -5,6 +5,7 @@ import pytest
 
 from foliograph.operators import drift, placement, subgraph
 from foliograph.operators import pages as P
+from foliograph.plans import pages as queries
 
 PAGES = "graph string, title string, file string, content string"
 ENTRIES = "graph string, entry_index int, title string, tier string, exclude boolean, redact string, file string, filters array<struct<prepend:string,append:string,redact:string>>"
@@ -69,6 +70,23 @@ def test_subgraph_caps_and_ties(spark, graph):
     assert subgraph.select_subgraph(P.outlinks(tie.limit(0)), tie.limit(0), seeds(spark, "S")).count() == 0
 
 
+def test_queries_take_every_seed(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    text = {f"S{i}": f"- [[T{i}]] [[Both]]" for i in range(30)} | {f"T{i}": "" for i in range(30)} | {"Both": ""}
+    rows = [(i, "g", t, f"{t}.md", c, day, None, day) for i, (t, c) in enumerate(text.items())]
+    kinds = "page_id long, graph_path string, title string, file string, raw_content string, created_at timestamp, deleted_at timestamp, loaded_at timestamp"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "graph_pages.parquet"))
+    named = [f"S{i}" for i in range(30)] + ["S3"]
+    entries = [(i, "g", i, t, "seed", None, False, None, None, None, day) for i, t in enumerate(named)] + [(99, "g", 31, "T5", "leaf", None, False, None, None, None, day)]
+    kinds = "entry_id long, graph_path string, entry_index int, title string, tier string, backlinks array<string>, exclude boolean, redact string, file string, filters array<struct<prepend:string,append:string,redact:string>>, loaded_at timestamp"
+    spark.createDataFrame(entries, kinds).write.parquet(str(tmp_path / "publish_entries.parquet"))
+    orders = sorted((r["title"], r["seed_order"]) for r in queries._seeds(spark, str(tmp_path)).collect())
+    assert orders == sorted((t, i) for i, t in enumerate(named))
+    assert {r["title"] for r in queries.r_subgraph(spark, str(tmp_path)).collect()} == set(named)
+    around = {r["title"]: r["refs"] for r in queries.r_boundary(spark, str(tmp_path)).collect()}
+    assert around == {f"T{i}": 1 for i in range(30)} | {"Both": 30}
+
+
 def test_resolve(spark):
     pages = spark.createDataFrame([("g", "A/B", "A___B.md", ""), ("g", "Q?", "Q%3F.md", ""), ("g", "X", "X.md", "")], PAGES)
     wanted = spark.createDataFrame([("g", "A/B", None), ("g", "Q?", None), ("g", "X", "no.md"), ("g", "Y", "X.md"), ("h", "X", None), ("g", "X", None), ("g", "X", None)], "graph string, title string, file string")
