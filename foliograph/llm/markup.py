@@ -2,9 +2,9 @@
 
 A record is scanned once into nodes: runs of text and pieces of markup, each with the path of tags it stands
 in. Method: tag-path ratios. For every root-to-leaf path of a record the text length and the punctuation of its
-nodes are summed; the ratios of a path and its parent are smoothed, both are fused, and paths that fall below a
-share of the strongest are residue. The outliner's own text and every structural piece (heading, list, code,
-formula, table) are content whatever their ratio. Clean text is written from the content nodes, as Markdown.
+nodes are summed; the ratios of a path and its parent are smoothed, both are fused, and a path without any text of
+its own is residue. The outliner's own text and every structural piece (heading, list, code, formula, table) with
+all text inside it are content whatever their ratio. Clean text is written from the content nodes, as Markdown.
 """
 
 from __future__ import annotations
@@ -330,17 +330,25 @@ def path_ratios(nodes: list[Node]) -> dict[tuple[str, ...], float]:
     return fused
 
 
-def clean(text: str | None, least: float = 0.001) -> str | None:
+#: Tags whose text is part of a structure.
+_STRUCTURE = frozenset(
+    [f"html:{t}" for t in HTML_HEADINGS | HTML_LISTS | HTML_TABLES | HTML_CODE]
+    + [f"latex:{t.lower()}" for t in LATEX_LISTS | LATEX_CODE | LATEX_TABLES | LATEX_FORMULAS]
+)
+
+
+def clean(text: str | None, least: float = 0.0) -> str | None:
     """The record's text as Markdown without foreign markup; null stays null.
 
-    Paths whose ratio is below ``least`` of the record's strongest are residue and left out.
+    Paths whose ratio doesn't exceed ``least`` are residue and left out; text inside a heading, list, table or
+    code block never is. The floor is the same for every record, however long; as given, a path with any text,
+    be it one letter, stays whatever stands beside it.
     """
     if not text or not may_have_markup(text):
         return text
     nodes = scan(text)
     ratio = path_ratios(nodes)
-    floor = least * max(ratio.values(), default=0.0)
-    keep = {p for p, r in ratio.items() if not p or r >= floor}
+    keep = {p for p, r in ratio.items() if r > least or not _STRUCTURE.isdisjoint(p) or not p}
     out = "".join(n.text for n in nodes if n.path in keep or n.element not in ("", "inline"))
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", out)).strip("\n")
 

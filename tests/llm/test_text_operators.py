@@ -66,6 +66,13 @@ def test_clean(text, expected):
     assert M.clean(text) == expected
 
 
+def test_long_records_keep_short_pieces():
+    prose = "A sentence, with marks. " * 210
+    item = "An item, of three marks; about the mill and the weir and what stands near it, as it was when the hub was built."
+    got = M.clean(f"{prose}<ul><li>Mill</li><li>{item}</li></ul>{prose}<div><h2>Results</h2></div><div>an <b>x</b></div>\\begin{{itemize}}\n\\item Hub\n\\end{{itemize}}")
+    assert all(x in got for x in ("- Mill", f"- {item}", "## Results", "an x", "Hub"))
+
+
 def test_nodes_cover_the_text():
     text = "a <b>b</b> == x ==\n\\section{y} $z_1$ ```\n<i>\n```"
     at = 0
