@@ -21,23 +21,23 @@ from foliograph.session import cut_lineage
 
 #: Forms of template placeholders that nobody filled, each with a string it can't do without.
 PLACEHOLDERS = (
-    ("{{", r"\{\{(?!\s*(?:query|embed)\b)[^{}\n]{1,120}\}\}"),
-    ("{%", r"\{%[^%\n]{1,120}%\}"),
-    ("<%", r"<%[^%\n]{1,120}%>"),
-    ("${", r"\$\{[^{}\n]{1,120}\}"),
-    ("#{", r"#\{[^{}\n]{1,120}\}"),
-    ("%%", r"%%[A-Za-z][\w .-]{0,60}%%"),
-    ("@@", r"@@[A-Za-z][\w .-]{0,60}@@"),
+    ("{{", r"\{\{(?!\s*(?:query|embed)\b)[^{}\n]+\}\}"),
+    ("{%", r"\{%[^%\n]+%\}"),
+    ("<%", r"<%[^%\n]+%>"),
+    ("${", r"\$\{[^{}\n]+\}"),
+    ("#{", r"#\{[^{}\n]+\}"),
+    ("%%", r"%%[A-Za-z][\w .-]*%%"),
+    ("@@", r"@@[A-Za-z][\w .-]*@@"),
     ("__", r"__(?<!\w__)[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*__"),
-    ("[[[", r"\[\[\[[^\[\]\n]{1,80}\]\]\]"),
+    ("[[[", r"\[\[\[[^\[\]\n]+\]\]\]"),
     (
         "[",
         r"\[(?<![\[!\w]\[)(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|HIER|hier|Hier|Ihr|votre|Votre|su|tu)\s"
-        r"[^\[\]\n]{1,80}\](?![\](])",
+        r"[^\[\]\n]+\](?![\](])",
     ),
     ("{", r"\{(?<![\\\w$#{}%]\{)[a-z][a-z0-9]*(?:_[a-z0-9]+)+\}(?!\})"),
-    ("<<", r"<<[A-Za-z][\w .-]{0,60}>>"),
-    ("<", r"<(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter)\s[^<>\n]{1,60}>"),
+    ("<<", r"<<[A-Za-z][\w .-]*>>"),
+    ("<", r"<(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter)\s[^<>\n]+>"),
 )
 
 #: Sentences that stand in for a text.
@@ -103,12 +103,12 @@ ERRORS = (
     r"something went wrong.{0,40}",
     r"(?:please )?try again\b.{0,40}",
     r"traceback \(most recent call last\):?",
-    r"file \".{1,80}\", line \d+.{0,40}",
-    r"[a-z]*(?:error|exception): .{0,120}",
+    r"file \".+\", line \d+.*",
+    r"[a-z]*(?:error|exception): .*",
     r"checking your browser\b.{0,80}",
     r"this may take (?:up to|a few).{0,40}",
     r"loading\b.{0,40}",
-    r"<noscript>.{0,200}</noscript>",
+    r"<noscript>.*</noscript>",
     r"(?:we.re sorry but )?.{0,40}(?:doesn.t|does not) work (?:properly )?without (?:js|javascript).{0,60}",
     r"(?:please |bitte |veuillez |por favor,? )?(?:enable|activate|turn on|aktivieren sie|activez|activer|active|habilite) javascript\b.{0,80}",
     r"javascript (?:is|must be|has been) (?:disabled|required|enabled|turned off)\b.{0,60}",

@@ -183,6 +183,17 @@ def test_placeholders(text, expected):
     assert R.has_placeholder(text) is expected
 
 
+@pytest.mark.parametrize("begin, end", [("{{", "}}"), ("{%", "%}"), ("<%", "%>"), ("${", "}"), ("#{", "}"), ("%%", "%%"), ("@@", "@@"), ("[[[", "]]]"), ("[Insert ", "]"), ("<<", ">>"), ("<insert ", ">")])
+def test_placeholders_of_any_length(begin, end):
+    assert R.has_placeholder(f"a {begin}{'Short description of the project and its goals ' * 40}{end} b")
+    assert not R.has_placeholder(f"a {begin}{'Short description ' * 40}\n{end} b")
+    R.has_placeholder(begin * 20_000)
+
+
+def test_long_error_lines():
+    assert R.is_error("ValueError: " + "no such anchor in the vault " * 20) and R.is_error(f'File "/{"site/" * 60}a.py", line 3, in run')
+
+
 @pytest.mark.parametrize(
     "text, expected",
     [
