@@ -1,8 +1,8 @@
 """Problem 9: documents with unfilled placeholders, filler paragraphs or nothing but an error page.
 
 Method: placeholder detectors and filler detectors read every document. Short documents are compared with their
-own title (a response that says nothing of it is mismatched) and their lines with the rest of the corpus: word
-triples that stand, on several hosts, nearly only in short documents with an error cue are duplicated
+own title (a response that says nothing of it is mismatched) and their lines with each other and with documents of
+any length that have an error cue: word triples that stand, on several hosts, nearly only beside cues are duplicated
 low-information text. A document is an error page if every line left, apart from properties and navigation, is
 an error cue or such duplicated text, with at least one cue, and duplicated text counts only where the title
 isn't spoken of.
@@ -209,19 +209,32 @@ def has_filler(text: str) -> bool:
     return "`" not in text and "~~~" not in text or any(map(test, _lines(_fences.sub("\n", text))))
 
 
-def rest_lines(text: str, most: int) -> list[str] | None:
-    """What a document says apart from properties and navigation; None if that is more than ``most`` lines."""
+def rest_lines(text: str) -> list[str]:
+    """What a document says apart from properties and navigation."""
     rest = []
     for line in _lines(text):
         if line.strip() and not _property(line):
             bare = _lead.sub("", line).strip()
             if bare and not _navigation(bare):
                 rest.append(bare)
-                if len(rest) > most:
-                    return None
     return rest
 
 
+def plain_lines(rest: list[str]) -> list[str]:
+    """The lines that are no error cue; in a traceback the source line below a frame, and marks below that, are part of the cue."""
+    plain, traced, framed = [], False, False
+    for line in rest:
+        if is_error(line):
+            traced = traced or line.lower().startswith("traceback")
+            framed = traced and line.lower().startswith("file ")
+        elif not (framed or traced and not line.strip("~^ ")):
+            plain.append(line)
+            framed = False
+        else:
+            framed = False
+    return plain
+
+
 def is_error(line: str) -> bool:
     """Whether a line is an error message or a notice about scripts."""
     low = line.lower()
@@ -235,7 +248,11 @@ def triples(line: str) -> list[str]:
 
 
 def inspect(docs: DataFrame, key: str, text: str, title: str, host: str, max_lines: int, max_chars: int) -> DataFrame:
-    """Documents with a finding of their own or short enough to be an error page, with the lines of the latter."""
+    """Documents with a finding of their own or an error cue, of any length, and short ones, with the lines of the latter two.
+
+    Of documents without a cue only those of at most ``max_lines`` lines and ``max_chars`` characters, apart from
+    properties and navigation, come out: they can't be error pages, only tell where else a line stands.
+    """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, host string, placeholder boolean, filler boolean, mismatched boolean, cues int, plain array<string>"
 
@@ -245,17 +262,17 @@ def inspect(docs: DataFrame, key: str, text: str, title: str, host: str, max_lin
             at, cols = [], ([], [], [], [], [])
             for k, (body, name) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 placeholder, filler = has_placeholder(body), has_filler(body)
-                rest = rest_lines(body, max_lines) if len(body) <= 2 * max_chars else None
-                if rest is not None and sum(map(len, rest)) > max_chars:
-                    rest = None
+                rest = rest_lines(body)
+                plain = plain_lines(rest)
+                if len(plain) == len(rest) and (len(rest) > max_lines or sum(map(len, rest)) > max_chars):
+                    rest, plain = [], []
                 if not (placeholder or filler or rest):
                     continue
-                plain = [x for x in rest or [] if not is_error(x)]
                 said = {w.lower() for x in plain for w in _letters(x)}
                 at.append(k)
                 for col, value in zip(
                     cols,
-                    (placeholder, filler, not said & {w.lower() for w in _letters(name or "")}, len(rest or []) - len(plain), plain),
+                    (placeholder, filler, not said & {w.lower() for w in _letters(name or "")}, len(rest) - len(plain), plain),
                 ):
                     col.append(value)
             take = pa.array(at, pa.int64())
@@ -293,11 +310,12 @@ def find_residue(
 ) -> DataFrame:
     """(``doc_id``, ``placeholder``, ``filler``, ``error_page``) of the documents that are residue.
 
-    ``max_lines`` and ``max_chars`` bound what an error page may say. Duplicated text counts as part of one if
-    its triples stand in at least ``min_docs`` short documents of ``min_hosts`` hosts, ``min_share`` of which
+    An error page may have any length. ``max_lines`` and ``max_chars`` bound the documents without a cue that are
+    counted beside those with one. Duplicated text counts as part of one if
+    its triples stand in at least ``min_docs`` of these documents, of ``min_hosts`` hosts, ``min_share`` of which
     have a cue. Null, empty and blank texts are no case. Null titles and hosts are allowed; a null host is no
     host. Repeated rows count once; an empty table gives an empty result. Texts are read once and never
-    shuffled: only the lines of short documents are, and only those beside a cue are looked up.
+    shuffled: only the lines of documents that are short or have a cue are, and only those beside a cue are looked up.
     """
     seen = cut_lineage(inspect(docs, key, text, title, host, max_lines, max_chars))
     short = seen.filter((F.col("cues") > 0) | (F.size("plain") > 0)).select(key, "host", "cues", "mismatched", "plain")

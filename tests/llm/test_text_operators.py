@@ -207,6 +207,19 @@ def test_filler(text, expected):
     assert R.has_filler(text) is expected
 
 
+def test_long_error_pages(spark):
+    frames = "\n".join(f'  File "/srv/site/page_{i}.py", line {i}, in run\n    value = load(anchor_{i})' for i in range(20))
+    rows = [
+        (1, f"Traceback (most recent call last):\n{frames}\nValueError: no such anchor", "s", "T"),
+        (2, "\n".join(f"key{i}:: {'value ' * 20}" for i in range(30)) + "\n\n404 Not Found", "s", "T"),
+        (3, f"- The mill broke down with this:\n\nTraceback (most recent call last):\n{frames}\nValueError: no such anchor\n\n- We mended it.", "s", "T"),
+        (4, "404 Not Found\n\n" + "- The mill stands by the weir.\n" * 40, "s", "T"),
+        (5, "Menu | Pages | About\n" * 90 + "Please enable JavaScript to view this page.\n" * 12, "s", "T"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, title string")
+    assert {r["doc_id"] for r in R.find_residue(docs).filter("error_page").collect()} == {1, 2, 5}
+
+
 def test_residue(spark):
     page = "type:: note\n\n- A real page about the mill.\n- It goes on.\n- And on."
     rows = [
