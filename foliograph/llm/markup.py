@@ -70,7 +70,7 @@ _MASTER = re.compile(
     | (?P<lblock>\\begin\{(?P<e>[A-Za-z]+)\*?\}(?P<lbody>.*?)\\end\{(?P=e)\*?\})
     | (?P<lenv>\\(?:begin|end)\{(?P<le>[A-Za-z]+)\*?\}(?:\[[^\]\n]*\])?)
     | (?P<display>\$\$(?!\$)[^$]+?\$\$|\\\[.+?\\\])
-    | (?P<imath>\\\([^\n]+?\\\)|(?<![\\\w$])\$(?![\s$])(?P<m>[^$\n]{1,300}?)(?<![\s\\])\$(?![\w$]))
+    | (?P<imath>\\\([^\n]+?\\\)|(?<![\\\w$])\$(?![\s$])(?P<m>[^$\n]+?)(?<![\s\\])\$(?![\w$]))
     | (?P<lcmd>\\(?P<c>[A-Za-z]+)\*?(?:(?:\[[^\]\n]*\])*(?P<arg>\{)|(?![A-Za-z{])))
     | (?P<whead>^[ \t]*(?P<eq>={2,6})(?P<wh>[ ]?(?:(?!==)[^\n])*?[^=\s][ ]?)(?P=eq)[ \t]*\r?$)
     | (?P<wlist>^(?!\#+[ ])[*\#:;]{2,}[ ]?(?=\S)(?<=[ ]))

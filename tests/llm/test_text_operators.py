@@ -73,6 +73,10 @@ def test_long_records_keep_short_pieces():
     assert all(x in got for x in ("- Mill", f"- {item}", "## Results", "an x", "Hub"))
 
 
+def test_long_inline_formula():
+    assert kinds("a $" + "x_1 + " * 100 + "y$ b") == {"latex/formula"}
+
+
 def test_nodes_cover_the_text():
     text = "a <b>b</b> == x ==\n\\section{y} $z_1$ ```\n<i>\n```"
     at = 0
