@@ -10,6 +10,8 @@ the reference graph until a round adds nothing.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,12 +121,12 @@ def direct_orphans(references: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def orphan_cascade(references: DataFrame, targets: DataFrame, max_rounds: int = 64) -> DataFrame:
+def orphan_cascade(references: DataFrame, targets: DataFrame) -> DataFrame:
     """(``src_table``, ``record_id``, ``orphan``, ``round``): every record with a broken reference, direct or inherited.
 
     Round 0 are the records with a direct orphan. In round n a record joins if a page it refers to, there at
-    the time of the reference, is the page of a record of round n - 1. The loop ends when a round adds nothing;
-    ``max_rounds`` guards against an endless one and raises, it never cuts the result short. Each round costs
+    the time of the reference, is the page of a record of round n - 1. The loop ends when a round adds nothing,
+    as it must, since every round adds records that weren't found before. Each round costs
     one semi join over the edges and one anti join over the records found, and ends in a checkpoint.
     """
     t = targets.select(
@@ -144,7 +146,7 @@ def orphan_cascade(references: DataFrame, targets: DataFrame, max_rounds: int =
         .select("src_table", "record_id", F.lit("direct").alias("orphan"), F.lit(0).alias("round"))
     )
     frontier = found
-    for n in range(1, max_rounds + 1):
+    for n in count(1):
         pages = frontier.filter(F.col("src_table") == "page_metadata").select(F.col("record_id").alias("page_id"))
         added = (
             edges.join(pages, "page_id", "left_semi")
@@ -156,7 +158,6 @@ def orphan_cascade(references: DataFrame, targets: DataFrame, max_rounds: int =
         if frontier.isEmpty():
             return found
         found = found.unionByName(frontier)
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def orphan_totals(orphans: DataFrame) -> DataFrame:

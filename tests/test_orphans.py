@@ -71,6 +71,15 @@ def test_cascade(spark):
     assert len(got) == len({x[:2] for x in got})
 
 
+def test_cascade_follows_long_chains(spark):
+    day, long = datetime(2024, 1, 1), 67
+    rows = [("page_metadata", i, "g", "wikilinks", "title", f"P{i + 1}", day) for i in range(long)]
+    references = spark.createDataFrame(rows, "src_table string, record_id long, scope string, field string, kind string, ref string, at timestamp")
+    targets = spark.createDataFrame([(i, "g", "title", f"P{i}", day, None) for i in range(long)], "page_id long, scope string, kind string, name string, created_at timestamp, deleted_at timestamp")
+    got = {r["record_id"]: r["round"] for r in orphans.orphan_cascade(references, targets).collect()}
+    assert got == {i: long - 1 - i for i in range(long)}
+
+
 def test_totals(spark):
     meta, entries, pages = tables(spark)
     rows = orphans.orphan_totals(orphans.direct_orphans(every(meta, entries), orphans.page_targets(pages))).collect()
