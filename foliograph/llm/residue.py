@@ -1,21 +1,22 @@
 """Problem 9: documents with unfilled placeholders, filler paragraphs or nothing but an error page.
 
-Method: placeholder detectors and filler detectors read every document. Short documents are compared with their
-own title (a response that says nothing of it is mismatched) and their lines with each other and with documents of
-any length that have an error cue: word triples that stand, on several hosts, nearly only beside cues are duplicated
-low-information text. A document is an error page if every line left, apart from properties and navigation, is
-an error cue or such duplicated text, with at least one cue, and duplicated text counts only where the title
-isn't spoken of.
+Method: placeholder and filler detectors read every document, and so does the comparison of title (whose words are
+the slug) and body. Each line apart from properties and navigation is measured by how much of it is in the words of
+failed responses; that is weak evidence, enough only for a line that says nothing else. Other lines are residue as
+duplicated low-information text: sentences, names left open, that stand in documents of several hosts nearly only
+where a failure is told, under titles that don't speak of it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from foliograph.session import cut_lineage
 
@@ -77,48 +78,44 @@ LATIN = frozenset(
     voluptate vulputate""".split()
 )
 
-#: Lines of error pages and script notices.
-ERRORS = (
-    r"(?:http )?(?:error |erreur |fehler |código |code |ошибка )?[45]\d\d(?:[ :–—-]+(?:not found|gone|unauthorized|forbidden|bad request|"
-    r"too many requests|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|request time-?out|"
-    r"method not allowed|payment required|error)\b.{0,40})?",
-    r"(?:not found|gone|unauthorized|forbidden|bad request|too many requests|internal server error|bad gateway|"
-    r"service (?:temporarily )?unavailable|gateway time-?out|request time-?out|method not allowed)",
-    r"(?:code|request id|reference|ray id|incident)[ :#]+[0-9a-f][0-9a-f-]*",
-    r".{0,60}\((?:http |error )+[45]\d\d\)",
-    r"(?:nginx|apache|openresty|cloudflare|iis)(?:/[\d.]+)?",
-    r"(?:error|erreur|fehler|ошибка)\b.{0,90}",
-    r"(?:page|seite|página|страница|site|file|resource) (?:not found|nicht gefunden|no encontrada|introuvable|не найдена).{0,40}",
-    r"die (?:angeforderte )?seite .{1,60} (?:nicht verfügbar|nicht gefunden|existiert nicht).{0,20}",
-    r"el enlace .{1,60} ya no existe",
-    r"la p(?:age|ágina) .{1,60} (?:introuvable|no existe|n.existe (?:plus|pas)|no encontrada)",
-    r"(?:sorry, )?(?:the|this) (?:page|file|resource|link) .{0,60}(?:moved|no longer exists|not (?:be )?found|does not exist|unavailable).{0,40}",
-    r"we can.?t find .{1,80}",
-    r"check the (?:address|url|link)\b.{0,40}",
-    r"access (?:denied|forbidden)",
-    r"you (?:do not|don.t) have permission\b.{0,60}",
-    r"(?:the server|we) (?:could|can|was|were)(?: not|n.t| unable to) .{0,40}(?:complete|process|handle|find) .{0,40}",
-    r"your session (?:has )?(?:expired|timed out).{0,60}",
-    r"(?:oops|whoops|sorry)\b.{0,60}",
-    r"something went wrong.{0,40}",
-    r"(?:please )?try again\b.{0,40}",
-    r"traceback \(most recent call last\):?",
-    r"file \".+\", line \d+.*",
-    r"[a-z]*(?:error|exception): .*",
-    r"checking your browser\b.{0,80}",
-    r"this may take (?:up to|a few).{0,40}",
-    r"loading\b.{0,40}",
-    r"<noscript>.*</noscript>",
-    r"(?:we.re sorry but )?.{0,40}(?:doesn.t|does not) work (?:properly )?without (?:js|javascript).{0,60}",
-    r"(?:please |bitte |veuillez |por favor,? )?(?:enable|activate|turn on|aktivieren sie|activez|activer|active|habilite) javascript\b.{0,80}",
-    r"javascript (?:is|must be|has been) (?:disabled|required|enabled|turned off)\b.{0,60}",
-    r"(?:this|the) (?:site|page|app|website|application|vault|outline) (?:requires|needs) (?:javascript|scripts|cookies)\b.{0,40}",
-    r"you need to (?:enable|allow|activate) (?:javascript|scripts|cookies)\b.{0,60}",
-    r"turn it on and (?:reload|try)\b.{0,60}",
-    r"if nothing happens, .{0,60}",
-    r"enable it to continue",
+#: Words that tell of a failed response or of scripts that are needed, in the languages of the web.
+HEADS = frozenset(
+    """error errors exception forbidden denied unauthorized unavailable expired timeout timed javascript js script scripts
+    noscript cookies oops whoops failed failure loading permission disabled blocked maintenance captcha unreachable refused traceback
+    fehler zugriff verweigert abgelaufen wartungsarbeiten erreur introuvable refusé interdit expiré indisponible acceso denegado caducado
+    errore erro negato negado scaduta expirou ошибка доступ запрещён""".split()
 )
 
+#: Words that stand beside them.
+COMPANIONS = frozenset(
+    """page pages site website web address link url file resource document server host app browser request requested response access
+    account session connection network service gateway bad method internal many wait moment second seconds minute minutes try again
+    later retry reload refresh enable enabled activate turn allow sign log login view display open opening check checking find found
+    looking exist exists moved removed deleted gone longer available load complete completed process handle continue sorry please happened
+    happens wrong something required requires require need needs run temporarily currently code id reference incident ray work works
+    properly blocks administrator status http https nginx apache openresty cloudflare iis caddy
+    seite angeforderte adresse datei server gefunden verfügbar existiert aktivieren anzuzeigen browser erneut versuchen später laden
+    demandée demandé existe activer activez continuer réessayez navigateur lien accès serveur
+    página pagina enlace encontrada encontrado disponible activar active navegador intente nuevo servidor trovata disponibile encontrada
+    страница найдена""".split()
+)
+
+#: Words that deny, and what is denied where a response has failed.
+DENIALS = frozenset("not no cannot can't couldn't can‘t doesn't isn't don't wasn't nicht kein keine ne pas non não не unable longer".split())
+DENIED = frozenset(
+    """find found exist exists available load complete completed process handle open work works respond gefunden verfügbar existiert
+    existe trouvée disponible encontrada encontrado trovata disponibile найдена""".split()
+)
+
+#: Words that say nothing by themselves.
+PLAIN = frozenset(
+    """a an the this that of to in on at for from by with and or but if is are was were be been has have had do does did it its you your
+    we we're our us i may can could will would should up out so as there here nothing take takes before until most recent call last
+    der die das den dem des ein eine einen ist sind wird wurde bitte sie ihr ihre und oder um zu auf im in mit von für es
+    le la les l un une des du de est et ou sur dans pour votre vous veuillez plus par qui que
+    el los las una es y o en del con por favor su para ya se lo il o a os as um uma è é si не на и""".split()
+) | DENIALS
+
 #: Lines that only lead to other pages.
 NAVIGATION = (
     r"(?:main )?menu",
@@ -131,10 +128,8 @@ NAVIGATION = (
     r"(?:back|go back|return) to (?:start|top|home|the homepage)",
     r"(?:←|«|‹|<)? ?(?:previous|prev|back)(?: page)?(?: ?[·|/] ?next(?: page)? ?(?:→|»|›|>)?)?",
     r"next(?: page)? ?(?:→|»|›|>)?",
-    r"(?:©|\(c\)|copyright).{0,60}",
+    r"(?:©|\(c\)|copyright\b).*",
     r"all rights reserved\.?",
-    r"[^|]{1,20}(?: \| [^|]{1,20}){1,9}",
-    r"[^·]{1,20}(?: · [^·]{1,20}){1,9}",
 )
 
 _any = lambda parts: "|".join(f"(?:{p})" for p in parts)
@@ -142,24 +137,28 @@ _placeholders = [(hint, re.compile(p).search) for hint, p in PLACEHOLDERS]
 _fences = re.compile(r"(?ms)^[ \t>]*(?:[-*+] )?(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[`~]*[ \t]*\r?$|\Z)")
 _spans = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
 _filler = re.compile(rf"(?:{_any(FILLER)})[.!…:;]*", re.I).fullmatch
-#: A text without any of these has no sentence of FILLER, or line of ERRORS.
+#: A text without any of these has no sentence of FILLER.
 _FILLER_HINTS = (
     "goes here", " here", "sample", "placeholder", "coming soon", "this is ", "replace this", "overwrite this", "swap it for", "enough",
     "ihr text", "dein text", "der text", "blindtext", "platzhalter", "beispieltext", "texte ", "remplacez", "texto", "lorem ipsum",
 )
-_ERROR_HINTS = (
-    "error", "erreur", "fehler", "código", "ошибка", "code", "found", "gefunden", "encontrada", "introuvable", "найдена", "nginx", "apache",
-    "openresty", "cloudflare", "iis", "40", "41", "42", "50", "gone", "unauthorized", "forbidden", "bad ", "too many", "unavailable",
-    "time", "not allowed", "request id", "reference", "ray id", "incident", "verfügbar", "existiert", "existe", "moved", "exist", "find ",
-    "check", "access", "permission", "server", "session", "oops", "whoops", "sorry", "wrong", "try again", "traceback", "file ",
-    "exception", "this may take", "loading", "script", "js", "cookies", "turn it on", "nothing happens", "enable",
-)
 _sentences = re.compile(r"(?<=[.!?…;])\s+").split
-_error = re.compile(rf"(?:{_any(ERRORS)})[.!…]*(?: (?:{_any(ERRORS)})[.!…]*)*", re.I).fullmatch
 _navigation = re.compile(_any(NAVIGATION), re.I).fullmatch
+_menu = re.compile(r" [|·] ").split
+#: Lines that only a program writes: tracebacks, exceptions, notices in a tag for browsers without scripts.
+_machine = re.compile(r"traceback \(most recent call last\):?|file \".+\", line \d+.*|[a-z.]*(?:error|exception): .*|<noscript>.*</noscript>", re.I).fullmatch
+_status = re.compile(r"[45]\d\d").fullmatch
+_tokens = re.compile(r"\w+(?:'\w+)?").findall
+#: Reason phrases of failed responses, as the protocol names them.
+_phrases = frozenset(s.phrase.lower() for s in HTTPStatus if s >= 400)
+_name = re.compile(r"(?<=\s)[„“\"'«(]*[A-ZÀ-ÖØ-Þ]\w+")
+_numbers = re.compile(r"\d+")
+_parts = re.compile(r"(?<=[.!?…;])\s+|[\r\n]+").split
+#: Without one of these, or a denial, no text tells of a failure.
+_SIGNS = ("…", "...", *HEADS, *(p for p in _phrases if HEADS.isdisjoint(p.split())))
+_any_status = re.compile(r"(?<!\w)[45]\d\d(?!\w)").search
 _property = re.compile(r"\s*[A-Za-z0-9_.-]+::(?:\s|$)").match
 _lead = re.compile(r"^(?:[\s>]|[-*+•] |#{1,6} )+")
-_letters = re.compile(r"[^\W\d_]+").findall
 _lines = re.compile(r"\r\n|\r|\n").split
 
 
@@ -209,85 +208,137 @@ def has_filler(text: str) -> bool:
     return "`" not in text and "~~~" not in text or any(map(test, _lines(_fences.sub("\n", text))))
 
 
+def _leads_on(line: str) -> bool:
+    """Whether a line is navigation: one of its usual forms, or a row of short labels."""
+    if _navigation(line):
+        return True
+    labels = _menu(line)
+    return len(labels) > 1 and all(0 < len(x.split()) <= 4 for x in labels)
+
+
 def rest_lines(text: str) -> list[str]:
     """What a document says apart from properties and navigation."""
     rest = []
     for line in _lines(text):
         if line.strip() and not _property(line):
             bare = _lead.sub("", line).strip()
-            if bare and not _navigation(bare):
+            if bare and not _leads_on(bare):
                 rest.append(bare)
     return rest
 
 
-def plain_lines(rest: list[str]) -> list[str]:
-    """The lines that are no error cue; in a traceback the source line below a frame, and marks below that, are part of the cue."""
-    plain, traced, framed = [], False, False
+def response_share(line: str) -> tuple[float, bool]:
+    """How much of a line is in the words of failed responses, from 0 to 1, and whether one of them tells of a failure.
+
+    Words that say nothing and numbers don't count, and neither does the first name (a capitalised word within
+    the line): a response names what was asked for.
+    """
+    if line.strip(" .!:0123456789–—-").lower() in _phrases:
+        return 1.0, True
+    words = _tokens(line.replace("’", "'"))
+    low = [w.lower() for w in words]
+    kinds = set(low)
+    if COMPANIONS.isdisjoint(kinds) and HEADS.isdisjoint(kinds) and not any(map(_status, low)):
+        return 0.0, False
+    known = unknown = names = 0
+    head = named = False
+    for k, w in enumerate(low):
+        if w in HEADS or _status(w):
+            known, head = known + 1, True
+        elif w in COMPANIONS:
+            known += 1
+        elif w in PLAIN or w[0].isdigit() or any(c.isdigit() for c in w):
+            continue
+        elif k and words[k][0].isupper():
+            names += not named
+            unknown += named or names > 1
+            named = True
+            continue
+        else:
+            unknown += 1
+        named = False
+    share = known / (known + unknown) if known else 0.0
+    state = share >= STATE and line.endswith(("…", "..."))
+    return (1.0, True) if state else (share, head or not (DENIALS.isdisjoint(kinds) or DENIED.isdisjoint(kinds)))
+
+
+#: Shares of a line: a response for sure, one if other evidence agrees, and a state that is never over ("Loading notes…").
+SURE, LIKELY, STATE = 0.6, 0.3, 0.5
+
+
+def is_error(line: str) -> bool:
+    """Whether a line is an error message or a notice about scripts by its words alone."""
+    return bool(_machine(line)) or response_share(line)[0] >= SURE
+
+
+def may_fail(text: str) -> bool:
+    """Whether a text can tell of a failure; a quick test that never misses."""
+    low = text.replace("’", "'").lower()
+    if any(x in low for x in _SIGNS) or _any_status(low):
+        return True
+    for line in _lines(low):
+        if any(x in line for x in DENIED):
+            kinds = set(_tokens(line))
+            if not (DENIALS.isdisjoint(kinds) or DENIED.isdisjoint(kinds)):
+                return True
+    return False
+
+
+def judged(rest: list[str]) -> tuple[list[str], bool, set[str]]:
+    """Lines that aren't responses by their words alone, whether any line tells of a failure, and the words that do.
+
+    In a traceback the source line below a frame, and marks below that, are part of the response.
+    """
+    plain: list[str] = []
+    told: set[str] = set()
+    failed = traced = framed = False
     for line in rest:
-        if is_error(line):
+        if _machine(line):
+            failed = True
             traced = traced or line.lower().startswith("traceback")
             framed = traced and line.lower().startswith("file ")
-        elif not (framed or traced and not line.strip("~^ ")):
-            plain.append(line)
+        elif framed or traced and not line.strip("~^ "):
             framed = False
         else:
-            framed = False
-    return plain
+            share, head = response_share(line)
+            if share < SURE:
+                plain.append(line)
+            if share >= LIKELY and head:
+                failed = True
+                told.update(w for w in map(str.lower, _tokens(line)) if w in HEADS or w in COMPANIONS)
+    return plain, failed, told
 
 
-def is_error(line: str) -> bool:
-    """Whether a line is an error message or a notice about scripts."""
-    low = line.lower()
-    return any(h in low for h in _ERROR_HINTS) and bool(_error(line))
+def pieces(text: str) -> set[int]:
+    """Hashes of the sentences of a text, names and numbers left open, so that a template has the same whatever it was filled with."""
+    masked = _numbers.sub("0", _name.sub("§", text)).lower()
+    return {xxh3_64_intdigest(s) - (1 << 63) for x in _parts(masked) if (s := x.strip(" \t>-*+•#"))}
 
 
-def triples(line: str) -> list[str]:
-    """Word triples of a line, shorter lines as a whole."""
-    w = [x.lower() for x in _letters(line)]
-    return [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)]
+def compared(text: str, title: str | None) -> tuple[bool, bool, set[int]]:
+    """Whether a document tells of a failure and whether its title doesn't, and the pieces that aren't responses."""
+    if may_fail(text):
+        plain, failed, told = judged(rest_lines(text))
+        if failed:
+            return True, told.isdisjoint({w.lower() for w in _tokens(title or "")}), pieces("\n".join(plain))
+    return False, False, pieces(text)
 
 
-def inspect(docs: DataFrame, key: str, text: str, title: str, host: str, max_lines: int, max_chars: int) -> DataFrame:
-    """Documents with a finding of their own or an error cue, of any length, and short ones, with the lines of the latter two.
-
-    Of documents without a cue only those of at most ``max_lines`` lines and ``max_chars`` characters, apart from
-    properties and navigation, come out: they can't be error pages, only tell where else a line stands.
-    """
+def inspect(docs: DataFrame, key: str, text: str, title: str, host: str) -> DataFrame:
+    """Every document's own findings, with the pieces of its lines that aren't responses by their words alone."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, host string, placeholder boolean, filler boolean, mismatched boolean, cues int, plain array<string>"
+    schema = f"{key} {kind}, host string, placeholder boolean, filler boolean, failed boolean, mismatched boolean, pieces array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_type = pa.list_(pa.string())
         for batch in batches:
-            at, cols = [], ([], [], [], [], [])
-            for k, (body, name) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                placeholder, filler = has_placeholder(body), has_filler(body)
-                rest = rest_lines(body)
-                plain = plain_lines(rest)
-                if len(plain) == len(rest) and (len(rest) > max_lines or sum(map(len, rest)) > max_chars):
-                    rest, plain = [], []
-                if not (placeholder or filler or rest):
-                    continue
-                said = {w.lower() for x in plain for w in _letters(x)}
-                at.append(k)
-                for col, value in zip(
-                    cols,
-                    (placeholder, filler, not said & {w.lower() for w in _letters(name or "")}, len(rest) - len(plain), plain),
-                ):
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            for body, name in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                failed, mismatched, found = compared(body, name)
+                row = has_placeholder(body), has_filler(body), failed, mismatched, list(found)
+                for col, value in zip(cols, row):
                     col.append(value)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
-                    pa.array(cols[0], pa.bool_()),
-                    pa.array(cols[1], pa.bool_()),
-                    pa.array(cols[2], pa.bool_()),
-                    pa.array(cols[3], pa.int32()),
-                    pa.array(cols[4], out_type),
-                ],
-                names=[key, "host", "placeholder", "filler", "mismatched", "cues", "plain"],
-            )
+            kinds = [pa.bool_()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, cols, kinds)], names=[key, "host", "placeholder", "filler", "failed", "mismatched", "pieces"])
 
     return (
         docs.select(F.col(key), F.col(host).cast("string").alias("host"), F.col(text).alias("text"), F.col(title).cast("string").alias("title"))
@@ -297,51 +348,42 @@ def inspect(docs: DataFrame, key: str, text: str, title: str, host: str, max_lin
 
 
 def find_residue(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    title: str = "title",
-    host: str = "source",
-    max_lines: int = 8,
-    max_chars: int = 600,
-    min_docs: int = 3,
-    min_hosts: int = 2,
-    min_share: float = 0.8,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", title: str = "title", host: str = "source", min_docs: int = 3, min_hosts: int = 2, min_share: float = 0.8
 ) -> DataFrame:
     """(``doc_id``, ``placeholder``, ``filler``, ``error_page``) of the documents that are residue.
 
-    An error page may have any length. ``max_lines`` and ``max_chars`` bound the documents without a cue that are
-    counted beside those with one. Duplicated text counts as part of one if
-    its triples stand in at least ``min_docs`` of these documents, of ``min_hosts`` hosts, ``min_share`` of which
-    have a cue. Null, empty and blank texts are no case. Null titles and hosts are allowed; a null host is no
-    host. Repeated rows count once; an empty table gives an empty result. Texts are read once and never
-    shuffled: only the lines of documents that are short or have a cue are, and only those beside a cue are looked up.
+    A document of any length is an error page if it tells of a failure and every line apart from properties and
+    navigation is a response: by its words alone, or, where the title has none of the words that tell of the
+    failure, as duplicated text. Text is duplicated if its sentences, names left open, stand in at least
+    ``min_docs`` documents of at least ``min_hosts`` hosts, ``min_share`` of which tell of a failure; more than
+    half of a document's other sentences must be. All documents are counted, whatever their length.
+
+    Null, empty and blank texts are no case. Null titles and hosts are allowed; a null host is no host. Repeated
+    rows count once; an empty table gives an empty result. Texts are read once and never shuffled: only the
+    hashes of sentences that documents with a failure have are looked up in all others.
     """
-    seen = cut_lineage(inspect(docs, key, text, title, host, max_lines, max_chars))
-    short = seen.filter((F.col("cues") > 0) | (F.size("plain") > 0)).select(key, "host", "cues", "mismatched", "plain")
-    split = F.udf(lambda lines: sorted({t for x in lines for t in triples(x)}), "array<string>")
-    pieces = short.filter(F.size("plain") > 0).select(key, "host", "cues", "mismatched", F.explode(split("plain")).alias("piece"))
+    seen = cut_lineage(inspect(docs, key, text, title, host))
+    each = seen.filter(F.size("pieces") > 0).select(key, "host", "failed", "mismatched", F.explode("pieces").alias("piece"))
+    open_cases = each.filter(F.col("failed") & F.col("mismatched")).select(key, "piece").distinct()
+    uses = each.select(key, "host", "failed", "piece").join(open_cases.select("piece").distinct(), "piece", "left_semi")
     known = (
-        pieces.groupBy("piece")
-        .agg(
-            F.count("*").alias("docs"),
-            F.avg((F.col("cues") > 0).cast("double")).alias("share"),
-            (F.min("host") < F.max("host")).alias("hosts") if min_hosts == 2 else (F.approx_count_distinct("host") >= min_hosts).alias("hosts"),
-        )
-        .filter((F.col("docs") >= min_docs) & F.col("hosts") & (F.col("share") >= min_share))
+        uses.groupBy("piece", key)
+        .agg(F.min("host").alias("host"), F.max("failed").alias("failed"))
+        .groupBy("piece")
+        .agg(F.count("*").alias("docs"), F.avg(F.col("failed").cast("double")).alias("share"), F.countDistinct("host").alias("hosts"))
+        .filter((F.col("docs") >= min_docs) & (F.col("hosts") >= min_hosts) & (F.col("share") >= min_share))
         .select("piece", F.lit(1).alias("known"))
     )
     backed = (
-        pieces.filter((F.col("cues") > 0) & F.col("mismatched"))
-        .join(known, "piece", "left")
+        open_cases.join(known, "piece", "left")
         .groupBy(key)
         .agg(F.count("*").alias("all"), F.count("known").alias("known"))
         .filter(F.col("known") * 2 > F.col("all"))
         .select(key)
     )
-    all_cues = short.filter((F.col("cues") > 0) & (F.size("plain") == 0)).select(key)
-    pages = all_cues.unionByName(backed).select(key, F.lit(False).alias("placeholder"), F.lit(False).alias("filler"), F.lit(True).alias("error_page"))
-    own = seen.filter(F.col("placeholder") | F.col("filler")).select(key, "placeholder", "filler", F.lit(False).alias("error_page"))
+    no = F.lit(False)
+    own = seen.select(key, "placeholder", "filler", (F.col("failed") & (F.size("pieces") == 0)).alias("error_page")).filter(F.col("placeholder") | F.col("filler") | F.col("error_page"))
+    pages = backed.select(key, no.alias("placeholder"), no.alias("filler"), F.lit(True).alias("error_page"))
     return own.unionByName(pages).groupBy(key).agg(*[F.max(c).alias(c) for c in ("placeholder", "filler", "error_page")])
 
 

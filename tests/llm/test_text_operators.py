@@ -244,3 +244,52 @@ def test_residue(spark):
     assert R.find_residue(docs.limit(0)).count() == 0
     kept = {r["doc_id"] for r in R.without_residue(docs).collect()}
     assert kept == {3, 4, 5, 6, 7, 8, 10, 30, None}
+
+
+#: Wordings that played no part in the choice of words: responses, and texts that speak about such things.
+RESPONSES = (
+    "HTTP Error 418", "The requested resource is no longer available.", "Connection refused", "Request failed with status code 502",
+    "This service is temporarily unavailable. Please try again later.", "You need to sign in to view this page. Access denied.", "Sorry, this file has been deleted.\nError code: 7f3a-11",
+    "Cookies must be enabled to continue.", "Your browser does not run scripts. Please enable JavaScript.", "Please wait…", "Loading page…\nJavaScript is required.",
+    "The page could not be found", "Session timeout. Please log in again.", "Too Many Requests\nRetry later.", "Zugriff verweigert", "Fehler 403", "Die Adresse existiert nicht.",
+    "Accès refusé", "Cette page n'existe pas.", "Acceso denegado", "Pagina non trovata", "Ошибка 404", "Server error in app.\nRequestError: no response", "Unsupported Media Type",
+    "Site is down for maintenance. Check again in 30 minutes.",
+)
+SPEAKING = (
+    "Error handling in Rust", "Error 500 means the server failed and every engineer should read it.", "How we cut the error rate of the weir by half", "JavaScript for gardeners",
+    "The page about forbidden fruit was written in spring.", "A 404 in the mill's ledger is the number of a sack.", "Permission to fish is given by the warden of the pond.",
+    "We found nothing in the archive, yet the map exists.", "Scripts of the old theatre and their authors", "Cookies and bread: two recipes", "Loading a cart takes two people and a mule.",
+    "An exception to the rule of thumb", "The bridge was closed for repairs after a flood.", "Access to the quarry by the northern road", "Failure is a good teacher of masons",
+    "Fehlerkultur in kleinen Teams und was sie bringt", "Une erreur fréquente des jeunes meuniers", "Connection between tides and moon", "The server brought tea and cake.",
+    "- Notes on timeouts\n- Retries need a limit\n- We chose three",
+)
+
+
+def test_wordings_not_seen_before():
+    def page(text):
+        failed, _, left = R.compared(text, "A title")
+        return failed and not left
+
+    hits, wrong = sum(map(page, RESPONSES)), [t for t in SPEAKING if page(t)]
+    assert hits >= 0.9 * len(RESPONSES), [t for t in RESPONSES if not page(t)]
+    assert len(wrong) <= 0.1 * hits, wrong
+    assert not page("Error handling in Rust") and not page(SPEAKING[1])
+
+
+def test_the_same_response_once_or_often(spark):
+    line = "Error 503: Service unavailable. Please try again later."
+    rows = [(1, line), (2, "\n".join([line] * 9)), (3, "\n".join([line] * 400))]
+    docs = spark.createDataFrame([(k, t, "s", "T") for k, t in rows], "doc_id long, text string, source string, title string")
+    assert {r["doc_id"] for r in R.find_residue(docs).filter("error_page").collect()} == {1, 2, 3}
+
+
+def test_duplicated_responses_need_hosts_and_other_titles(spark):
+    body = "Access denied\nThe keeper of this orchard keeps its gate shut for {}."
+    rows = [(i, body.format(f"Mr Quern{i}"), f"h{i % 3}", f"Orchard {i}") for i in range(6)]
+    rows += [(10 + i, f"Access denied\nOnly one house has this sentence about a cellar number {i}.", "h1", "Cellar") for i in range(6)]
+    rows += [(20 + i, "Access denied was what the sign of the weir said for years.", f"h{i}", "Access denied, a history") for i in range(6)]
+    # Repeated rows of one document aren't several documents.
+    rows += [(30, "Access denied\nThis sentence came six times with one document.", f"h{i}", "T") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, title string")
+    assert {r["doc_id"] for r in R.find_residue(docs).collect()} == set(range(6))
+    assert {r["doc_id"] for r in R.find_residue(docs, min_hosts=4).collect()} == set()
