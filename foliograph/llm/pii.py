@@ -188,8 +188,16 @@ _FOUND = "array<struct<kind:string,begin:int,end:int,value:string>>"
 _NAMES = "array<struct<first:string,second:string,begin:int,end:int,framed:boolean,leads:boolean,own:int,value:string>>"
 
 
+def _last(loaded_at: str = "loaded_at", tie: Column | str = "tie") -> Column:
+    """What the deliveries of a record are ordered by; of those loaded at one time the same holds wherever it is asked."""
+    return F.struct(F.coalesce(F.col(loaded_at).cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp")), tie)
+
+
 def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, ``found``, ``names``): spans with a form and name candidates of the last delivery of each record."""
+    """(``key``, ``found``, ``names``): spans with a form and name candidates of the last delivery of each record.
+
+    A delivery with a null or empty text counts as any other: if it is the last, the record has nothing.
+    """
     kind = records.schema[key].dataType.simpleString()
     when = records.schema["loaded_at"].dataType.simpleString()
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
@@ -203,29 +211,30 @@ def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, names = [], []
-            for body in batch.column(2).to_pylist():
-                spans = structured(body)
+            for body in batch.column(3).to_pylist():
+                spans = structured(body) if body else []
                 found.append([{"kind": k, "begin": a, "end": b, "value": body[a:b]} for k, a, b in spans])
                 names.append(
                     [
                         {"first": x, "second": y, "begin": a, "end": b, "framed": framed, "leads": leads, "own": own, "value": body[a:b]}
                         for x, y, a, b, framed, leads, own in name_candidates(body, spans)
                     ]
+                    if body
+                    else []
                 )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, found_type), pa.array(names, name_type)],
-                names=[key, "loaded_at", "found", "names"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(found, found_type), pa.array(names, name_type)],
+                names=[key, "loaded_at", "tie", "found", "names"],
             )
 
     rows = (
-        records.select(F.col(key), F.col("loaded_at"), F.col(text).alias("text"))
-        .filter(F.col(key).isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-        .mapInArrow(run, f"{key} {kind}, loaded_at {when}, found {_FOUND}, names {_NAMES}")
+        records.filter(F.col(key).isNotNull())
+        .select(F.col(key), F.col("loaded_at"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+        .mapInArrow(run, f"{key} {kind}, loaded_at {when}, tie bigint, found {_FOUND}, names {_NAMES}")
     )
-    at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
     return (
         rows.groupBy(key)
-        .agg(F.max_by(F.struct("found", "names"), at).alias("x"))
+        .agg(F.max_by(F.struct("found", "names"), _last()).alias("x"))
         .select(key, F.col("x.found").alias("found"), F.col("x.names").alias("names"))
     )
 
@@ -348,12 +357,13 @@ def find_personal(records: DataFrame, key: str, text: str, **options) -> DataFra
 def redact(records: DataFrame, key: str, text: str, **options) -> DataFrame:
     """(``key``, ``redacted``): the last delivery of each record with placeholders such as [EMAIL] and [NAME].
 
-    Overlapping names (as in "A B, C D") are replaced once, from the first on. Null and empty texts stay.
+    Overlapping names (as in "A B, C D") are replaced once, from the first on. Null and empty texts stay, also
+    where an older delivery had a text; spans and text come from the same delivery. The texts are shuffled once.
     """
     spans = find_personal(records, key, text, **options)
     by_record = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "kind"))).alias("spans"))
-    at = F.coalesce(F.col("loaded_at").cast("timestamp"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
-    last = records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(F.col(text).alias("text")), at).alias("x"))
+    last = records.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(F.col(text).alias("text")), _last(tie=F.xxhash64(text))).alias("x"))
+    body = F.coalesce("x.text", F.lit(""))
     step = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -361,7 +371,7 @@ def redact(records: DataFrame, key: str, text: str, **options) -> DataFrame:
             F.struct(
                 F.concat(
                     acc["out"],
-                    F.substring(F.col("x.text"), acc["at"] + 1, s["begin"] - acc["at"]),
+                    F.substring(body, acc["at"] + 1, s["begin"] - acc["at"]),
                     F.lit("["),
                     F.upper(s["kind"]),
                     F.lit("]"),
@@ -371,5 +381,5 @@ def redact(records: DataFrame, key: str, text: str, **options) -> DataFrame:
         ),
     )
     joined = last.join(by_record, key, "left").withColumn("s", step)
-    done = F.concat(F.col("s.out"), F.substring(F.col("x.text"), F.col("s.at") + 1, F.length("x.text")))
+    done = F.concat(F.col("s.out"), F.substring(body, F.col("s.at") + 1, F.length(body)))
     return joined.select(key, F.when(F.col("spans").isNull(), F.col("x.text")).otherwise(done).alias("redacted"))

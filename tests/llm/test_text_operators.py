@@ -166,6 +166,19 @@ def test_redacted(spark):
     assert got[72] == "[EMAIL] and [ID_NUMBER]" and got[73] is None and got[74] == ""
 
 
+@pytest.mark.parametrize("last", [None, "", "no data"])
+def test_the_last_delivery_of_a_body_counts(spark, last):
+    old, new = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [(1, "write to a@b.test", old), (1, last, new), (2, "call (476) 555-0122 now", new), (2, None, old), (3, "x@y.test", old), (3, "or z@y.test", old)]
+    df = spark.createDataFrame(rows, "body_id long, body string, loaded_at timestamp")
+    for whole in ("true", "false"):
+        spark.conf.set("spark.sql.codegen.wholeStage", whole)
+        spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK" if whole == "true" else "NO_CODEGEN")
+        got = {r["body_id"]: r["redacted"] for r in pii.redact(df, "body_id", "body").collect()}
+        assert (got[1], got[2]) == (last, "call [PHONE] now") and got[3] in ("[EMAIL]", "or [EMAIL]")
+        assert {r["body_id"] for r in pii.find_personal(df, "body_id", "body").collect()} == {2, 3}
+
+
 def test_nothing_personal(spark):
     df = bodies(spark)
     assert pii.find_personal(df.limit(0), "body_id", "body").count() == 0
