@@ -82,6 +82,15 @@ ADDRESS = re.compile(
     rf")"
 )
 
+#: A text without any of these, or without a comma, has no address.
+_STREET_HINTS = (
+    "Street", "St.", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr.", "Boulevard", "Blvd", "Court", "Ct.", "Place", "Pl.", "Square", "Sq.", "Way", "Terrace", "Close",
+    "Crescent", "Row", "Quay", "Walk", "Gardens", "Parade", "Alley", "straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ufer", "damm", "rue ", "avenue ",
+    "boulevard ", "place ", "chemin ", "allée ", "impasse ", "quai ", "route ", "calle ", "via ",
+)
+_digit = re.compile(r"\d").search
+_bracketed_at = re.compile(r"[\[({] ?(?:at|AT) ?[\])}]").search
+
 #: A capitalised word, perhaps joined by hyphens or an apostrophe, or an initial.
 _TERM = re.compile(r"(?<![\w’'-])(?:[^\W\d_a-zß-öø-ÿ]\.(?=[ ])|[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[’'-][^\W\d_]+)*)")
 
@@ -102,13 +111,14 @@ def structured(text: str) -> list[tuple[str, int, int]]:
             taken.append((begin, end))
             found.append((kind, begin, end))
 
-    if "@" in text or "64;" in text or "at" in text or "AT" in text:
+    if "@" in text or "&#64;" in text or "dot" in text or "DOT" in text or _bracketed_at(text):
         for m in EMAIL.finditer(text):
             if (m["end"] or "").lower() not in FILE_ENDINGS:
                 add("email", m.start(), m.end())
-    if any(c.isdigit() for c in text):
-        for m in ADDRESS.finditer(text):
-            add("address", m.start(), m.end())
+    if _digit(text):
+        if "," in text and any(x in text for x in _STREET_HINTS):
+            for m in ADDRESS.finditer(text):
+                add("address", m.start(), m.end())
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                 add("phone", m.start(), m.end())
