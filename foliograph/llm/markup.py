@@ -2,9 +2,10 @@
 
 A record is scanned once into nodes: runs of text and pieces of markup, each with the path of tags it stands
 in. Method: tag-path ratios. For every root-to-leaf path of a record the text length and the punctuation of its
-nodes are summed; the ratios of a path and its parent are smoothed, both are fused, and a path without any text of
-its own is residue. The outliner's own text and every structural piece (heading, list, code, formula, table) with
-all text inside it are content whatever their ratio. Clean text is written from the content nodes, as Markdown.
+nodes are summed and taken per node; both ratios are fused, smoothed along the record, and stretches of a path below
+the threshold are residue, such as rows of links around an article. The outliner's own text and every structural piece (heading,
+list, code, formula, table, paragraph) with all text inside it are content whatever their ratio. Clean text is
+written from the content nodes, as Markdown.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +55,13 @@ WIKI_SWITCHES = frozenset(
     "NOTOC TOC FORCETOC NOEDITSECTION NOINDEX INDEX NOGALLERY NEWSECTIONLINK NONEWSECTIONLINK HIDDENCAT STATICREDIRECT NOTITLECONVERT NOCONTENTCONVERT".split()
 )
 
+#: Tags whose text is part of a structure.
+_STRUCTURE = frozenset(
+    [f"html:{t}" for t in HTML_HEADINGS | HTML_LISTS | HTML_TABLES | HTML_CODE]
+    + ["html:p", "html:blockquote", "html:figcaption", "html:summary"]
+    + [f"latex:{t.lower()}" for t in LATEX_LISTS | LATEX_CODE | LATEX_TABLES | LATEX_FORMULAS]
+)
+
 _MASTER = re.compile(
     r"""
       (?P<fence>^[ \t>]*(?:[-*+][ ])?(?P<f>`{3,}|~{3,})[^\n]*(?:\n.*?(?:^[ \t>]*(?P=f)[`~]*[ \t]*\r?$|\Z)|\Z))
@@ -92,7 +101,8 @@ class Node:
 
     start: int
     end: int
-    path: tuple[str, ...]
+    path: int  # number of the tag path it stands in, 0 outside of all tags
+    inside: bool = False  # within a structure
     markup: str = ""  # '' for the record's own text
     element: str = ""
     text: str = ""  # what is read where the piece stands
@@ -103,10 +113,37 @@ def may_have_markup(text: str) -> bool:
     return _HINT(text) is not None
 
 
+class _Stack:
+    """The open tags. Each path of tags has a number, whatever its depth, so that nodes of one path are found without its names."""
+
+    def __init__(self) -> None:
+        self.ids: dict[tuple[int, str], int] = {}
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.times: dict[str, int] = {}
+
+    def enter(self, name: str) -> None:
+        _, at, inside = self.open[-1]
+        path = self.ids.setdefault((at, name), len(self.ids) + 1)
+        self.open.append((name, path, inside or name in _STRUCTURE))
+        self.times[name] = self.times.get(name, 0) + 1
+
+    def leave(self, name: str) -> None:
+        """Ends the innermost tag of the name with all within it; nothing if there is none."""
+        found = not self.times.get(name)
+        while not found:
+            last, _, _ = self.open.pop()
+            self.times[last] -= 1
+            found = last == name
+
+    def node(self, start: int, end: int, text: str) -> Node:
+        _, path, inside = self.open[-1]
+        return Node(start, end, path, inside, text=text)
+
+
 def scan(text: str) -> list[Node]:
     """Nodes of a record in order; together they cover it."""
     nodes: list[Node] = []
-    stack: list[str] = []
+    stack = _Stack()
     done = 0
     at = 0
     while (m := _MASTER.search(text, at)) is not None:
@@ -115,22 +152,19 @@ def scan(text: str) -> list[Node]:
         if node is None:
             continue
         if node.start > done:
-            nodes.append(Node(done, node.start, tuple(stack), text=text[done : node.start]))
+            nodes.append(stack.node(done, node.start, text[done : node.start]))
         _enter(node, m, stack)
-        if node.markup or node.element:
-            nodes.append(node)
-        else:
-            nodes.append(Node(node.start, node.end, node.path, text=node.text))
+        nodes.append(node)
         done = at = node.end
     if done < len(text):
-        nodes.append(Node(done, len(text), tuple(stack), text=text[done:]))
+        nodes.append(stack.node(done, len(text), text[done:]))
     return nodes
 
 
-def _piece(m: re.Match, stack: list[str]) -> Node | None:
+def _piece(m: re.Match, stack: _Stack) -> Node | None:
     """What a match of the master pattern is; None if it is none of the markup looked for."""
     g = m.group
-    node = Node(m.start(), m.end(), tuple(stack), text=g())
+    node = stack.node(m.start(), m.end(), g())
     if g("fence") is not None or g("span") is not None:
         return node
     if g("comment") is not None:
@@ -290,19 +324,18 @@ def _table(cells: list[list[str]]) -> str:
     return "\n" + "\n".join(lines) + "\n"
 
 
-def _enter(node: Node, m: re.Match, stack: list[str]) -> None:
+def _enter(node: Node, m: re.Match, stack: _Stack) -> None:
     """Keeps the path of open tags; a closing tag ends the innermost of its name, if there is one."""
     if m["tag"] is not None:
-        name = "html:" + m["t"].lower()
+        name = m["t"].lower()
         if m.group().startswith("</"):
-            if name in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(name) :]
-        elif m["t"].lower() not in HTML_VOID and not m.group().endswith("/>") and len(stack) < 32:
-            stack.append(name)
-    elif m["lblock"] is not None and node.element in ("list", "inline") and len(stack) < 32:
-        stack.append("latex:" + m["e"].lower())
-    elif m["lenv"] is not None and m.group().startswith("\\end") and (name := "latex:" + m["le"].lower()) in stack:
-        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+            stack.leave("html:" + name)
+        elif name not in HTML_VOID and not m.group().endswith("/>"):
+            stack.enter("html:" + name)
+    elif m["lblock"] is not None and node.element in ("list", "inline"):
+        stack.enter("latex:" + m["e"].lower())
+    elif m["lenv"] is not None and m.group().startswith("\\end"):
+        stack.leave("latex:" + m["le"].lower())
 
 
 def elements(text: str | None) -> list[tuple[str, str]]:
@@ -312,44 +345,53 @@ def elements(text: str | None) -> list[tuple[str, str]]:
     return sorted({(n.markup, n.element) for n in scan(text) if n.markup})
 
 
-def path_ratios(nodes: list[Node]) -> dict[tuple[str, ...], float]:
-    """Smoothed and fused ratio of every path: text length and punctuation per node."""
-    length: dict[tuple[str, ...], int] = {}
-    marks: dict[tuple[str, ...], int] = {}
-    count: dict[tuple[str, ...], int] = {}
+def path_ratios(nodes: list[Node]) -> dict[int, tuple[int, float]]:
+    """Number of text nodes of every path, and its fused ratio: text length per node, weighed by punctuation per node."""
+    sums: dict[int, list[int]] = {}
     for n in nodes:
-        words = n.text.strip()
-        length[n.path] = length.get(n.path, 0) + len(words)
-        marks[n.path] = marks.get(n.path, 0) + len(_PUNCTUATION(words))
-        count[n.path] = count.get(n.path, 0) + 1
-    raw = {p: ((length[p] / count[p]), (marks[p] + 1) / count[p]) for p in length}
-    fused = {}
-    for p, (text, points) in raw.items():
-        up = raw.get(p[:-1], (text, points)) if p else (text, points)
-        fused[p] = (0.75 * text + 0.25 * up[0]) * (0.75 * points + 0.25 * up[1])
-    return fused
-
-
-#: Tags whose text is part of a structure.
-_STRUCTURE = frozenset(
-    [f"html:{t}" for t in HTML_HEADINGS | HTML_LISTS | HTML_TABLES | HTML_CODE]
-    + [f"latex:{t.lower()}" for t in LATEX_LISTS | LATEX_CODE | LATEX_TABLES | LATEX_FORMULAS]
-)
-
-
-def clean(text: str | None, least: float = 0.0) -> str | None:
+        if not n.markup and (words := n.text.strip()):
+            row = sums.setdefault(n.path, [0, 0, 0])
+            row[0] += 1
+            row[1] += len(words)
+            row[2] += len(_PUNCTUATION(words))
+    return {p: (k, size / k * (1 + marks / k)) for p, (k, size, marks) in sums.items()}
+
+
+def residue(nodes: list[Node], least: float = 24.0, times: int = 3) -> set[int]:
+    """Start of every text node of a record that is residue.
+
+    A path can be residue if it has at least ``times`` text nodes, is no part of a structure and isn't the record's
+    own text. Its ratio is smoothed with that of each stretch of its nodes that no other text interrupts: stretches
+    of at least ``times`` nodes below ``least`` (signs per node, weighed by punctuation) are residue, a link within a
+    sentence is not. There is none unless a path of the record has twice that ratio: short pieces alone are
+    a record, not what surrounds one. No bound depends on the length of the record.
+    """
+    ratio = path_ratios(nodes)
+    structured = {n.path for n in nodes if n.inside}
+    judged = {p for p, (k, _) in ratio.items() if k >= times and p and p not in structured}
+    if not judged or max(r for _, r in ratio.values()) < 2 * least:
+        return set()
+    out: set[int] = set()
+    texts = [n for n in nodes if not n.markup and n.text.strip()]
+    for path, stretch in groupby(texts, key=lambda n: n.path):
+        if path in judged and len(row := list(stretch)) >= times:
+            (_, own), (_, whole) = path_ratios(row)[path], ratio[path]
+            if (own + whole) / 2 < least:
+                out.update(n.start for n in row)
+    return out
+
+
+def clean(text: str | None, least: float = 24.0) -> str | None:
     """The record's text as Markdown without foreign markup; null stays null.
 
-    Paths whose ratio doesn't exceed ``least`` are residue and left out; text inside a heading, list, table or
-    code block never is. The floor is the same for every record, however long; as given, a path with any text,
-    be it one letter, stays whatever stands beside it.
+    Residue (:func:`residue`) is left out; text inside a heading, list, table, paragraph or code block never is,
+    however short it is and whatever stands beside it.
     """
     if not text or not may_have_markup(text):
         return text
     nodes = scan(text)
-    ratio = path_ratios(nodes)
-    keep = {p for p, r in ratio.items() if r > least or not _STRUCTURE.isdisjoint(p) or not p}
-    out = "".join(n.text for n in nodes if n.path in keep or n.element not in ("", "inline"))
+    drop = residue(nodes, least)
+    out = "".join(n.text for n in nodes if n.start not in drop)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", out)).strip("\n")
 
 

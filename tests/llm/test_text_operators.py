@@ -73,6 +73,26 @@ def test_long_records_keep_short_pieces():
     assert all(x in got for x in ("- Mill", f"- {item}", "## Results", "an x", "Hub"))
 
 
+def test_ratios_tell_navigation_from_the_article():
+    link = '<a href="/{0}">{0}</a>'
+    row = " ".join(link.format(x) for x in ("Home", "Mill", "Weir", "Hub", "Map", "Log"))
+    prose = "The <b>mill</b> stands by the weir, and the <i>hub</i> is near; see <a href='/m'>the map</a> for it. It was built late, as all was. " * 4
+    page = f"<div>{row}</div>\n<div>{prose}</div>\n<div>{row}</div>"
+    got = M.clean(page)
+    # The same tags hold the menu and the article's links, so no list of tags could tell them apart.
+    assert "Home" not in got and "Log" not in got and "mill" in got and "hub" in got and "It was built late" in got
+    assert got.count("see") == 4
+    # Without an article beside it the row is the record; a list of links is a list.
+    assert M.clean(f"<div>{row}</div>").split() == ["Home", "Mill", "Weir", "Hub", "Map", "Log"]
+    assert "- Home" in M.clean(f"<ul><li><a href='/h'>Home</a><li><a>Mill</a><li><a>Weir</a></ul><div>{prose}</div>")
+    assert "One" in M.clean(f"<p>One</p><p>Two</p><p>Three</p><div>{prose}</div>")
+
+
+def test_deep_paths_end():
+    assert "x" in M.clean("<div>" * 5_000 + "x" + "</div>" * 5_000)
+    assert len({n.path for n in M.scan("<b>" * 40 + "x")}) == 41
+
+
 def test_long_inline_formula():
     assert kinds("a $" + "x_1 + " * 100 + "y$ b") == {"latex/formula"}
 
