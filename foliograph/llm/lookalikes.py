@@ -1,21 +1,24 @@
 """Problem 4: one form for strings that look the same.
 
 Method: a longest-match transducer over grapheme clusters. Its mapping is computed once from Unicode rules
-(widths, canonical composition, blanks, joined letters) and a fixed list of look-alike letters, checked for
-conflicts (no output is itself mapped to something else); a string is then rewritten in one pass, every cluster
-(a base with all its marks) by the longest match. Case, accents that are there or not, raised digits, hyphens and letters such as œ stay apart.
+(widths, canonical composition, blanks, joined letters) and a fixed list of look-alike letters: every letter, in each
+script it can come from, with every mark it can carry, is a key of its own, and no two keys disagree. The keys are
+compiled into a trie, and a string is rewritten in one pass, each cluster (a base with its marks) by the longest
+key. Case, accents that are there or not, raised digits, hyphens and letters such as œ stay apart.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.session import cut_lineage
 from foliograph.sources import present
 
 #: Letters of other scripts that look like a Latin one, by the Latin one.
@@ -55,125 +58,140 @@ def _compatible(c: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=1)
-def mapping() -> dict[str, str]:
-    """Source string to final form, closed under itself and checked for conflicts."""
+def _singles() -> dict[str, str]:
+    """What every single character stands for, in final form."""
     table: dict[str, str] = {}
     for latin, others in LOOKALIKES.items():
         for other in others:
             if table.setdefault(other, latin) != latin:
                 raise ValueError(f"{other!r} is mapped twice")
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
-        c = chr(code)
-        if (to := _compatible(c)) is not None and c not in table:
+    for c in map(chr, (*range(0x20), *range(0x7F, 0xD800), *range(0xE000, sys.maxunicode + 1))):
+        if c not in table and (to := " " if c in "\t\n\r\x0b\x0c" else _compatible(c)) is not None:
             table[c] = to
-        elif unicodedata.normalize("NFC", c) != c:
-            table.setdefault(c, unicodedata.normalize("NFC", c))
-    for c in "\t\n\r\x0b\x0c":
-        table[c] = " "
-    for code in [*range(9), *range(14, 32), 127]:
-        table[chr(code)] = ""
-    for source in list(table):
-        table[source] = _settle(table[source], table)
-    for source, to in table.items():
-        if _settle(to, table) != to or source == to:
-            raise ValueError(f"conflict at {source!r}")
-    return table
-
-
-def _settle(text: str, table: dict[str, str]) -> str:
-    for _ in range(8):
-        new = unicodedata.normalize("NFC", "".join(table.get(c, c) for c in text))
-        if new == text:
-            return text
-        text = new
-    raise ValueError(f"no end at {text!r}")
-
-
-class Transducer:
-    """Rewrites strings cluster by cluster: a base with its marks is matched as a whole, else the longest part of it."""
-
-    def __init__(self, table: dict[str, str]):
-        self.table = table
-        self.memo: dict[str, str] = {}
-        marks = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))
-        skip = "".join(c for c, to in table.items() if not to)
-        runs = _char_class(marks + skip)
-        # A cluster: any character with the marks and the characters without width that follow it.
-        self.clusters = re.compile(rf"(?s).[{runs}]*").findall
-
-    def cluster(self, cluster: str) -> str:
-        known = self.memo.get(cluster)
-        if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            known = self.memo[cluster] = _settle(cluster, self.table)
-        return known
+    # What a rule leads to may itself be a look-alike, such as a bold Greek letter.
+    return {c: "".join(table.get(x, x) for x in to) for c, to in table.items()}
 
-    def rewrite(self, text: str) -> str:
-        if text.isascii() and text.isprintable():
-            return text
-        out = "".join(map(self.cluster, self.clusters(text)))
-        # Clusters that a dropped character kept apart may compose now.
-        return out if unicodedata.is_normalized("NFC", out) else unicodedata.normalize("NFC", out)
 
+@lru_cache(maxsize=1)
+def mapping() -> dict[str, str]:
+    """Keys of one or more code points, fully decomposed, and their final form; checked for conflicts.
 
-def _char_class(chars: str) -> str:
-    runs: list[list[int]] = []
-    for c in sorted(set(map(ord, chars))):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+    Beside single characters there is a key for each composed letter with its base in any of the scripts it can come
+    from, so that no form depends on whether a mark was typed by itself.
+    """
+    singles = _singles()
+    origins: dict[str, list[str]] = {}
+    for c, to in singles.items():
+        if len(to) == 1:
+            origins.setdefault(to, []).append(c)
+    keys: dict[str, str] = {}
+
+    def add(source: str, to: str) -> None:
+        source = unicodedata.normalize("NFD", source)
+        if source != to and keys.setdefault(source, to) != to:
+            raise ValueError(f"{source!r} stands for {keys[source]!r} and for {to!r}")
+
+    for c, to in singles.items():
+        add(c, to)
+    for c in map(chr, (*range(0xC0, 0xAC00), *range(0xF900, 0xFB50))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
+            base = singles.get(parts[0], parts[0])
+            final = singles.get(c, unicodedata.normalize("NFC", base + parts[1:]))
+            for first in {parts[0], base, *origins.get(base, ())}:
+                if len(unicodedata.normalize("NFD", first)) == 1:
+                    add(first + parts[1:], final)
+    return keys
+
+
+class _Trie:
+    """Keys by their characters; a node is [form of the key that ends here, children]."""
+
+    def __init__(self, keys: dict[str, str]):
+        self.root: dict[str, list] = {}
+        for key, to in keys.items():
+            level, node = self.root, [None, {}]
+            for c in key:
+                node = level.setdefault(c, [None, {}])
+                level = node[1]
+            node[0] = to
+
+    def rewrite(self, text: str) -> str:
+        """One pass over the decomposed text; the longest key at each place, else the character itself."""
+        text = unicodedata.normalize("NFD", text)
+        root = self.root
+        out: list[str] = []
+        at, end = 0, len(text)
+        while at < end:
+            level, best, k = root, text[at], at
+            done = at + 1
+            while k < end and (node := level.get(text[k])) is not None:
+                k += 1
+                if node[0] is not None:
+                    best, done = node[0], k
+                level = node[1]
+            out.append(best)
+            at = done
+        return unicodedata.normalize("NFC", "".join(out))
 
 
 @lru_cache(maxsize=1)
-def transducer() -> Transducer:
-    return Transducer(mapping())
+def transducer() -> _Trie:
+    """The compiled mapping; every form is its own form."""
+    trie = _Trie(mapping())
+    for key, to in mapping().items():
+        if trie.rewrite(to) != unicodedata.normalize("NFC", to):
+            raise ValueError(f"conflict at {key!r}")
+    return trie
 
 
 def one_form(text: str | None) -> str | None:
     """The form all strings that look like ``text`` have; null stays null."""
-    return None if text is None else transducer().rewrite(text)
+    if text is None or text.isascii() and text.isprintable():
+        return text
+    return transducer().rewrite(text)
 
 
-def with_form(df: DataFrame, column: str, form: str = "form") -> DataFrame:
-    """``df`` with ``form``, the one form of ``column``.
+#: Printable ASCII is its own form and never leaves the JVM.
+_PLAIN = r"^[ -~]*\z"
 
-    Printable ASCII is its own form and stays in the JVM; only other strings pass through the transducer.
-    """
-    plain = F.col(column).rlike(r"^[ -~]*\z")
-    rewrite = F.udf(_one_form_arrow, "string", useArrow=True)
-    return df.withColumn("_odd", rewrite(F.when(~plain, F.col(column)))).withColumn(form, F.when(plain, F.col(column)).otherwise(F.col("_odd"))).drop("_odd")
 
+def odd_forms(texts: DataFrame) -> DataFrame:
+    """(``text``, ``form``) of each distinct string of ``texts`` (text) that isn't printable ASCII; each is rewritten once."""
 
-def _one_form_arrow(text):
-    return one_form(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = pa.array(map(one_form, batch.column(0).to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), forms], names=["text", "form"])
 
+    return texts.select("text").filter(~F.col("text").rlike(_PLAIN)).distinct().mapInArrow(run, "text string, form string")
 
-def look_alike_pairs(entries: DataFrame, links: DataFrame) -> DataFrame:
+
+def look_alike_pairs(entries: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(``kind``, ``id_lo``, ``id_hi``): entries with entries, and entries with pages' links, that look the same.
 
-    ``entries``: (scope, id, text); ``links``: (scope, id, text), one row per distinct link of a page. Only
-    strings that differ although their form is the same make a pair, each once, within a scope. Null and empty
-    strings and null scopes or ids are no values. A pair of equal strings never arises: ids are first gathered
-    by string, and only forms that more than one string of a scope has go into the joins.
+    ``entries``: (scope, id, text); ``links``: (scope, id, text), one row per distinct link of a page; ``texts``:
+    (text), all strings of both and perhaps more, if they can be had cheaper. Only strings that differ although
+    their form is the same make a pair, each once, within a scope. Null and empty strings and null scopes or ids are
+    no values. Of two such strings at least one isn't its own form, so only strings that aren't, and their forms,
+    are looked for among titles and links: a pair of equal strings never arises.
     """
+
     def clean(df: DataFrame, side: str) -> DataFrame:
         ok = present(F.col("text")) & F.col("scope").isNotNull() & F.col("id").isNotNull()
         return df.filter(ok).select("scope", F.col("id").cast("long").alias("id"), "text", F.lit(side).alias("side"))
 
-    every = with_form(clean(entries, "title").unionByName(clean(links, "link")), "text").filter(F.col("form") != "")
+    every = clean(entries, "title").unionByName(clean(links, "link"))
+    changed = cut_lineage(odd_forms(every if texts is None else texts).filter((F.col("form") != F.col("text")) & (F.col("form") != "")))
+    wanted = changed.unionByName(changed.select(F.col("form").alias("text"), "form").distinct())
+    met = cut_lineage(every.join(wanted, "text").distinct())
     mixed = (
-        every.groupBy("scope", "form")
+        met.groupBy("scope", "form")
         .agg(F.min("text").alias("first"), F.max("text").alias("last"), F.max((F.col("side") == "title").cast("int")).alias("titled"))
         .filter((F.col("first") != F.col("last")) & (F.col("titled") == 1))
         .select("scope", "form")
     )
-    kept = every.join(mixed, ["scope", "form"], "left_semi").distinct()
+    kept = met.join(mixed, ["scope", "form"], "left_semi")
     titles = kept.filter(F.col("side") == "title").select("scope", "form", F.col("id").alias("id_lo"), F.col("text").alias("text_lo"))
     both = titles.join(kept.select("scope", "form", F.col("id").alias("id_hi"), "text", "side"), ["scope", "form"])
     differ = F.col("text") != F.col("text_lo")

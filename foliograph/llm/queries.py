@@ -88,16 +88,21 @@ def _titles_and_links(spark: SparkSession, base: str) -> tuple[DataFrame, DataFr
     return titles, links
 
 
+def _strings(spark: SparkSession, base: str) -> DataFrame:
+    """Every title and link of every delivery: more than the last ones have, without looking for the last."""
+    titles = load(spark, base, "publish_entries").select(F.col("title").alias("text"))
+    return titles.unionByName(load(spark, base, "page_metadata").select(F.explode("wikilinks").alias("text")))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Titles and links that look like another title but differ as strings."""
-    return lookalikes.look_alike_pairs(*_titles_and_links(spark, base))
+    return lookalikes.look_alike_pairs(*_titles_and_links(spark, base), _strings(spark, base))
 
 
 def p4_forms(spark: SparkSession, base: str) -> DataFrame:
     """The one form of every distinct title and link that isn't its own form."""
     titles, links = _titles_and_links(spark, base)
-    texts = titles.select("text").unionByName(links.select("text")).filter(F.col("text") != "").distinct()
-    return lookalikes.with_form(texts, "text").filter(F.col("form") != F.col("text"))
+    return lookalikes.odd_forms(titles.select("text").unionByName(links.select("text")).filter(F.col("text") != "")).filter(F.col("form") != F.col("text"))
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
