@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from datetime import datetime, timezone
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph import sinks
-from foliograph.operators import drift, manifest, patch, placement, projection, reconcile, subgraph
+from foliograph.operators import drift, manifest, patch, placement, projection, recall, reconcile, subgraph
 from foliograph.operators import pages as P
 from foliograph.session import build_session
 from foliograph.sources import files
@@ -56,7 +57,7 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _near(spark: SparkSession, graph: str, entries: DataFrame, hops: int) -> tuple[DataFrame, DataFrame]:
     pages = files.read_pages(spark, graph)
-    return pages, subgraph.neighbours(P.outlinks(pages), pages, entries, hops)
+    return pages, subgraph.neighbours(pages, entries, hops)
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -66,7 +67,8 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> int:
     pages, near = _near(spark, graph, entries, a.hops)
     days = 0 if a.no_stale_verified else a.stale_verified_days
     modes = a.known_redact_modes.split(",") if a.known_redact_modes else None
-    found = drift.audit(entries, pages, None if a.no_candidates else near, datetime.now(timezone.utc), days, modes, a.max_candidates).persist()
+    raw_rows = manifest.raw_entries(manifest.parse(raw)).select(F.lit(graph).alias("graph"), "entry_index", F.try_variant_get("e", "$.title", "string").alias("title"), "keys")
+    found = drift.audit(entries, pages, None if a.no_candidates else near, datetime.now(timezone.utc), days, modes, a.max_candidates, raw_rows).persist()
     _show(drift.ranked(found).orderBy("graph", "place").drop("place"), a.json)
     return drift.exit_code(found)
 
@@ -159,32 +161,100 @@ def project(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def reconcile_page(spark: SparkSession, a: argparse.Namespace) -> int:
-    with open(a.desired, encoding="utf-8") as f:
-        desired = f.read()
+def _text(path: str) -> str | None:
     try:
-        with open(a.page, encoding="utf-8") as f:
-            current = f.read()
+        with open(path, encoding="utf-8") as f:
+            return f.read()
     except FileNotFoundError:
-        current = ""
+        return None
+
+
+def _bridge(path: str) -> dict[str, str] | None:
+    """Hash of each region as of the last run; None if there was none."""
+    text = _text(path)
+    if text is None:
+        return None
+    document = json.loads(text)
+    entries = document.get("entries", {k: v for k, v in document.items() if k not in ("version", "page")})
+    return {k: v["contentHash"] if isinstance(v, dict) else v for k, v in entries.items()}
+
+
+def _save_page(page: str, sidecar: str, done: dict) -> None:
+    sinks._replace(page, done["content"])
+    entries = {k: {"contentHash": v} for k, v in done["bridge"].items()}
+    sinks._replace(sidecar, json.dumps({"version": "region-bridge/v1", "page": os.path.basename(page), "entries": entries}, indent=2) + "\n")
+
+
+def _projected(spark: SparkSession, a: argparse.Namespace) -> tuple[str | None, str | None, bool]:
+    """The desired page, why its source is held back, and whether that says how well it is cited."""
+    if a.desired:
+        return _text(a.desired), None, False
+    raw = _text(a.source)
+    if raw is None:
+        return None, None, False
+    slugs = {}
+    if a.manifest:
+        for row in reconcile.slug_map(_entries(_raw(spark, a.manifest), "")).toLocalIterator():
+            slugs[row["title"]] = row["slug"]
+    checked = spark.createDataFrame([(raw,)], "content string").select(reconcile.faithfulness_gate(F.col("content"), a.faithfulness_min).alias("gate"), reconcile.is_grounded(F.col("content")).alias("grounded")).first()
+    title = os.path.basename(a.source).removesuffix(".md").removesuffix(".mdx")
+    return reconcile.stamp(reconcile.project_source(raw, slugs), title), checked["gate"], checked["grounded"]
+
+
+def _reconcile_all(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Every published entry into a page of the output folder; 3 if a source is held back, 1 if one is missing."""
+    raw = _raw(spark, a.manifest)
+    graph = _graph(spark, raw, a.graph)
+    entries = _entries(raw, graph).select("graph", "entry_index", "title", "file", "exclude")
+    slugs = [r["slug"] for r in reconcile.slug_map(entries).select("slug").distinct().toLocalIterator()]
+    there = [(graph, s, text, _bridge(f"{a.out_dir}/{s}.md.reconcile.json")) for s in slugs if (text := _text(f"{a.out_dir}/{s}.md")) is not None]
+    targets = spark.createDataFrame(there, "graph string, slug string, content string, prior map<string,string>")
+    done = reconcile.reconcile_manifest(entries, files.read_pages(spark, graph), targets, a.faithfulness_min).persist()
+    os.makedirs(a.out_dir, exist_ok=True)
+    lines = {r["page"]: r["line"] for r in reconcile.recall_of_targets(done).toLocalIterator()}
+    held = lost = 0
+    for row in done.orderBy("slug").toLocalIterator():
+        held, lost = held + (row["gate"] is not None), lost + (row["error"] is not None)
+        shown = {k: v for k, v in row.asDict(recursive=True).items() if k not in ("content", "bridge", "graph") and v not in (None, [], False)}
+        if row["slug"] in lines:
+            shown["recall"] = lines[row["slug"]]
+        print(json.dumps(shown, ensure_ascii=False) if a.json else "  ".join(f"{k}={v}" for k, v in shown.items()))
+        if row["content"] is not None and not a.plan:
+            page = f"{a.out_dir}/{row['slug']}.md"
+            _save_page(page, page + ".reconcile.json", row.asDict(recursive=True))
+    return 3 if held else int(lost > 0)
+
+
+def reconcile_page(spark: SparkSession, a: argparse.Namespace) -> int:
+    if a.all:
+        return _reconcile_all(spark, a) if a.manifest and a.out_dir else 2
+    if not a.page or not (a.desired or a.source or a.check):
+        return 2
     sidecar = a.sidecar or a.page + ".reconcile.json"
-    try:
-        with open(sidecar, encoding="utf-8") as f:
-            prior = {k: v["contentHash"] if isinstance(v, dict) else v for k, v in json.load(f).get("entries", {}).items()}
-    except FileNotFoundError:
-        prior = None
+    prior = _bridge(sidecar)
+    desired, gate, grounded = _projected(spark, a) if a.desired or a.source else (None, None, False)
+    current = _text(a.page)
     if a.check:
-        now, ahead = reconcile.bridge_of(current), reconcile.bridge_of(desired)
+        if current is None:
+            return 2
+        now, ahead = reconcile.bridge_of(current), reconcile.bridge_of(desired) if desired is not None else {}
         states = {k: "orphan" if k not in now else "hash-mismatch" if now[k] != h else "stale" if ahead.get(k, h) != h else "synced" for k, h in (prior or {}).items()}
-        print(json.dumps(states))
+        print(json.dumps(dict(sorted(states.items(), key=lambda x: reconcile.STATES.index(x[1])))))
         return int(any(s != "synced" for s in states.values()))
-    for item in reconcile.plan(desired, current, prior):
+    if desired is None:
+        return 2
+    if gate is not None:
+        print(json.dumps({"held back": gate}))
+        return 3
+    for item in sorted(reconcile.plan(desired, current or "", prior), key=lambda i: reconcile.VERDICTS.index(i["verdict"])):
         print(json.dumps(item))
-    done = reconcile.apply(desired, current, prior)
+    done = reconcile.apply(desired, current or "", prior)
     if not a.plan:
-        sinks._replace(a.page, done["content"])
-        entries = {k: {"contentHash": v} for k, v in done["bridge"].items()}
-        sinks._replace(sidecar, json.dumps({"version": "region-bridge/v1", "page": a.page, "entries": entries}, indent=2) + "\n")
+        _save_page(a.page, sidecar, done)
+    if grounded:
+        page = spark.createDataFrame([("", a.page, desired)], "graph string, page string, content string")
+        for row in recall.recall_lines(recall.region_recall(page, ["page"], subdivide_root=True), ["page"]).toLocalIterator():
+            print(row["line"])
     return 0
 
 
@@ -231,11 +301,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--label", default="page graph")
     c.add_argument("--apply", action="store_true")
     c = command("reconcile", reconcile_page)
-    c.add_argument("--desired", required=True)
-    c.add_argument("--page", required=True)
-    c.add_argument("--sidecar")
-    c.add_argument("--plan", action="store_true")
-    c.add_argument("--check", action="store_true")
+    for name in ("--desired", "--source", "--page", "--sidecar", "--manifest", "--out-dir"):
+        c.add_argument(name)
+    c.add_argument("--faithfulness-min", type=float)
+    for name in ("--all", "--plan", "--check"):
+        c.add_argument(name, action="store_true")
     return p
 
 

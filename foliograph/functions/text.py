@@ -46,6 +46,11 @@ def _literal(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
 
+def java_free(pattern: str) -> str:
+    """A pattern of this module for Python's expressions, which name code points alike and end a text with ``\\Z``."""
+    return pattern.replace(r"\z", r"\Z")
+
+
 def strip_blank(c: Column) -> Column:
     """Without the blanks at both ends."""
     return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")

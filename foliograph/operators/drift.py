@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.operators.manifest import ENTRY_FIELDS
 from foliograph.operators.pages import resolve
+from foliograph.session import cut_lineage
 from foliograph.sources import present
 
 #: Kinds of findings in the order they are ranked, with their severity.
@@ -48,53 +50,63 @@ def _finding(df: DataFrame, kind: str, key: Column, detail: Column | None = None
     )
 
 
-def _filters(entries: DataFrame) -> DataFrame:
-    each = entries.select("graph", "entry_index", "title", "redact", F.posexplode("filters").alias("pos", "f"))
-    ref = F.coalesce(F.col("f.prepend"), F.col("f.append"))
-    return each.select("graph", "entry_index", "title", "redact", "pos", ref.alias("ref"), F.col("f.redact").alias("mode"))
+def _rule(when: Column, kind: str, key: Column, detail: Column | None = None) -> Column:
+    """A finding of the row at hand, or null."""
+    said = (detail if detail is not None else F.lit(None)).cast("string")
+    row = F.struct(F.concat_ws(":", F.lit(kind), key).alias("id"), F.lit(kind).alias("kind"), F.lit(KINDS[kind]).alias("severity"), said.alias("detail"))
+    return F.when(F.coalesce(when, F.lit(False)), row)
 
 
-def _place(df_title: str = "title") -> Column:
-    return F.concat(F.col(df_title), F.lit("#"), F.col("pos").cast("string"))
+def _apply(df: DataFrame, *rules: Column) -> DataFrame:
+    """All findings of every row in one pass."""
+    each = df.select("graph", F.col("entry_index").cast("int").alias("entry_index"), "title", F.explode(F.array_compact(F.array(*rules))).alias("x"))
+    return each.select("graph", "entry_index", "title", "x.*").select(*COLUMNS)
 
 
-def missing_sources(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entries without a page."""
-    return _finding(resolve(entries, pages).filter(F.col("page_file").isNull()), "source-missing", F.col("title"))
+def _filters(entries: DataFrame) -> DataFrame:
+    each = entries.select("graph", "entry_index", "title", F.posexplode("filters").alias("pos", "f"))
+    ref = F.coalesce(F.col("f.prepend"), F.col("f.append"))
+    return each.select("graph", "entry_index", "title", "pos", ref.alias("ref"), F.col("f.redact").alias("mode"))
 
 
-def file_mismatches(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entries whose page isn't in the file they name."""
-    hit = resolve(entries, pages).filter(F.col("page_file").isNotNull() & present(F.col("file")))
-    return _finding(hit.filter(~F.concat(F.lit("/"), "page_file").endswith(F.concat(F.lit("/"), F.col("file")))), "file-title-mismatch", F.col("title"))
+def _last_entries(entries: DataFrame) -> DataFrame:
+    """(``graph``, ``ref``, ``excluded``, ``last_index``): of entries with one title the last holds."""
+    return entries.groupBy("graph", F.col("title").alias("ref")).agg(
+        F.max_by(F.coalesce("exclude", F.lit(False)), "entry_index").alias("excluded"), F.max("entry_index").alias("last_index")
+    )
 
 
-def redact_conflicts(entries: DataFrame) -> DataFrame:
-    """Entries with both a redact mode of their own and a redacting filter."""
-    both = F.col("redact").isNotNull() & F.exists("filters", lambda f: f["redact"].isNotNull())
-    return _finding(entries.filter(both), "filter-redact-conflict", F.col("title"))
+def entry_findings(placed: DataFrame) -> DataFrame:
+    """Entries without a page, entries whose page isn't in the file they name, and entries that redact in two ways.
 
+    ``placed``: entries with ``page_file``, as :func:`foliograph.operators.pages.resolve` gives them.
+    """
+    elsewhere = present(F.col("file")) & ~F.concat(F.lit("/"), "page_file").endswith(F.concat(F.lit("/"), F.col("file")))
+    both = F.col("redact").isNotNull() & F.exists("filters", lambda f: f["redact"].isNotNull())
+    return _apply(
+        placed,
+        _rule(F.col("page_file").isNull(), "source-missing", F.col("title")),
+        _rule(F.col("page_file").isNotNull() & elsewhere, "file-title-mismatch", F.col("title")),
+        _rule(both, "filter-redact-conflict", F.col("title")),
+    )
 
-def self_references(entries: DataFrame) -> DataFrame:
-    """Filters that splice an entry into itself."""
-    return _finding(_filters(entries).filter(F.col("ref") == F.col("title")), "filter-self-reference", _place())
 
+def filter_findings(entries: DataFrame, known_modes: list[str] | None) -> DataFrame:
+    """Filters that splice an entry into itself or what isn't a published entry, and modes the host doesn't have.
 
-def broken_references(entries: DataFrame) -> DataFrame:
-    """Filters that splice a page that isn't an entry, or an excluded one. Of entries with one title the last holds."""
-    last = entries.groupBy("graph", F.col("title").alias("ref")).agg(
-        F.max_by(F.coalesce("exclude", F.lit(False)), "entry_index").alias("excluded")
+    Without a list of modes none is unknown. The filters are spelled out once for all rules.
+    """
+    rows = _filters(entries).join(_last_entries(entries).select("graph", "ref", "excluded"), ["graph", "ref"], "left")
+    place = F.concat(F.col("title"), F.lit("#"), F.col("pos").cast("string"))
+    self = F.col("ref") == F.col("title")
+    lost = F.col("ref").isNotNull() & ~self & (F.col("excluded").isNull() | F.col("excluded"))
+    unknown = F.col("mode").isNotNull() & ~F.col("mode").isin(*known_modes) if known_modes else F.lit(False)
+    return _apply(
+        rows,
+        _rule(self, "filter-self-reference", place),
+        _rule(lost, "filter-reference-broken", F.concat_ws(":", place, F.col("ref")), F.when(F.col("excluded").isNull(), "absent").otherwise("excluded")),
+        _rule(unknown, "filter-redact-mode-unknown", F.concat_ws(":", place, F.col("mode"))),
     )
-    refs = _filters(entries).filter(F.col("ref").isNotNull() & (F.col("ref") != F.col("title")))
-    bad = refs.join(last, ["graph", "ref"], "left").filter(F.col("excluded").isNull() | F.col("excluded"))
-    why = F.when(F.col("excluded").isNull(), "absent").otherwise("excluded")
-    return _finding(bad, "filter-reference-broken", F.concat_ws(":", _place(), F.col("ref")), why)
-
-
-def unknown_modes(entries: DataFrame, known: list[str] | None) -> DataFrame:
-    """Redacting filters with a mode the host doesn't have; nothing without a list of modes."""
-    rows = _filters(entries).filter(F.col("mode").isNotNull() & ~F.col("mode").isin(*(known or [""])))
-    return _finding(rows if known else rows.limit(0), "filter-redact-mode-unknown", F.concat_ws(":", _place(), F.col("mode")))
 
 
 def _cycles(refs: pd.DataFrame) -> list[list[str]]:
@@ -129,22 +141,24 @@ def _cycles(refs: pd.DataFrame) -> list[list[str]]:
     return list(found.values())
 
 
-def filter_cycles(entries: DataFrame, trim_rounds: int = 3) -> DataFrame:
+def filter_cycles(entries: DataFrame) -> DataFrame:
     """Filters that splice in a circle, one finding per cycle a depth-first search of the manifest closes.
 
     Only references between entries that are there, not excluded and not the entry itself count. References that
-    end at an entry without references close no circle; ``trim_rounds`` layers of them are removed in joins
-    first, so the search of a manifest sees little more than its knots. Of entries with one title the last holds.
+    end at an entry without references close no circle: they are removed in joins until none is left, so the search
+    of a manifest sees nothing but its knots. Of entries with one title the last holds.
     """
-    last = entries.groupBy("graph", F.col("title").alias("ref")).agg(
-        F.max_by(F.coalesce("exclude", F.lit(False)), "entry_index").alias("excluded"), F.max("entry_index").alias("last_index")
-    )
+    last = _last_entries(entries)
     refs = _filters(entries).filter(F.col("ref").isNotNull() & (F.col("ref") != F.col("title")))
     refs = refs.join(last.filter(~F.col("excluded")).select("graph", "ref"), ["graph", "ref"], "left_semi")
     holds = refs.groupBy("graph", "title").agg(F.min("entry_index").alias("first"), F.max("entry_index").alias("entry_index"))
-    refs = refs.join(holds, ["graph", "title", "entry_index"]).select("graph", "first", "pos", "title", "ref")
-    for _ in range(trim_rounds):
-        refs = refs.join(refs.select("graph", F.col("title").alias("ref")).distinct(), ["graph", "ref"], "left_semi")
+    refs = cut_lineage(refs.join(holds, ["graph", "title", "entry_index"]).select("graph", "first", "pos", "title", "ref"))
+    left = refs.count()
+    while left:
+        refs = cut_lineage(refs.join(refs.select("graph", F.col("title").alias("ref")).distinct(), ["graph", "ref"], "left_semi"))
+        before, left = left, refs.count()
+        if left == before:
+            break
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first", "pos"], kind="stable")
@@ -159,9 +173,10 @@ def filter_cycles(entries: DataFrame, trim_rounds: int = 3) -> DataFrame:
 def stale_blocks(entries: DataFrame, pages: DataFrame, now: datetime, threshold_days: int = 180) -> DataFrame:
     """Lines that say when a block was verified, if that is more than ``threshold_days`` ago; none for 0 days.
 
-    The detail names the age in days and the nearest bullet in the six lines above.
+    The detail names the age in days and the nearest bullet in the six lines above. ``entries`` may be resolved already.
     """
-    alive = resolve(entries.filter(~F.coalesce("exclude", F.lit(False))), pages).filter(F.col("page_file").isNotNull())
+    placed = entries if "page_file" in entries.columns else resolve(entries, pages)
+    alive = placed.filter(~F.coalesce("exclude", F.lit(False)) & F.col("page_file").isNotNull())
     content = pages.select("graph", F.col("file").alias("page_file"), "content").filter(F.col("content").contains("verified::"))
     rows = alive.select("graph", "entry_index", "title", "page_file").join(content, ["graph", "page_file"])
     lines = F.split("content", "\n", -1)
@@ -196,19 +211,13 @@ def candidate_pages(neighbours: DataFrame, most: int = 25) -> DataFrame:
 
 def audit(
     entries: DataFrame, pages: DataFrame, neighbours: DataFrame | None, now: datetime, threshold_days: int = 180, known_modes: list[str] | None = None,
-    most_candidates: int = 25,
+    most_candidates: int = 25, raw_entries: DataFrame | None = None, known_fields: tuple[str, ...] = ENTRY_FIELDS,
 ) -> DataFrame:
-    """All findings of all manifests."""
-    parts = [
-        missing_sources(entries, pages),
-        file_mismatches(entries, pages),
-        redact_conflicts(entries),
-        self_references(entries),
-        broken_references(entries),
-        unknown_modes(entries, known_modes),
-        filter_cycles(entries),
-        stale_blocks(entries, pages, now, threshold_days),
-    ]
+    """All findings of all manifests. Entries are resolved once; ``raw_entries`` (with ``keys``) adds fields the schema doesn't have."""
+    placed = cut_lineage(resolve(entries.select("graph", "entry_index", "title", "file", "exclude", "redact", "filters"), pages))
+    parts = [entry_findings(placed), filter_findings(placed, known_modes), filter_cycles(placed), stale_blocks(placed, pages, now, threshold_days)]
+    if raw_entries is not None:
+        parts.append(unknown_fields(raw_entries, list(known_fields)))
     if neighbours is not None:
         parts.append(candidate_pages(neighbours, most_candidates))
     out = parts[0]

@@ -131,6 +131,11 @@ def _entry_issues(entries: DataFrame, key: str) -> DataFrame:
     return entries.select(key, "entry_index", F.explode(F.concat(fixed, inner, unknown)).alias("x"))
 
 
+def entries_of_rows(rows: DataFrame, key: str = "manifest", text: str = "json") -> DataFrame:
+    """Entries as :func:`raw_entries` has them, from (``key``, entry_index, ``text``): one JSON document per entry."""
+    return rows.select(key, "entry_index", F.try_parse_json(text).alias("e")).withColumn("kind", F.schema_of_variant("e")).withColumn("keys", F.json_object_keys(F.to_json("e")))
+
+
 def issues(raw: DataFrame, key: str = "manifest", text: str = "json") -> DataFrame:
     """(``key``, ``entry_index``, ``ord``, ``path``, ``message``, ``severity``): all violations of all manifests.
 
@@ -138,8 +143,12 @@ def issues(raw: DataFrame, key: str = "manifest", text: str = "json") -> DataFra
     them.
     """
     parsed = parse(raw, key, text)
-    entries = raw_entries(parsed, key)
-    rows = _root_issues(parsed, key).unionByName(_entry_issues(entries, key)).select(key, "entry_index", "x.*")
+    return _root_issues(parsed, key).select(key, "entry_index", "x.*").unionByName(entry_issues(raw_entries(parsed, key), key))
+
+
+def entry_issues(entries: DataFrame, key: str = "manifest") -> DataFrame:
+    """The part of :func:`issues` that entries have, from raw entries; no manifest needs to be one document."""
+    rows = _entry_issues(entries, key).select(key, "entry_index", "x.*")
     titles = entries.filter(_object(F.col("kind"))).select(key, "entry_index", F.try_variant_get("e", "$.title", "string").alias("title"))
     twice = titles.filter(present(F.col("title"))).groupBy(key, "title").agg(F.array_sort(F.collect_list("entry_index")).alias("at")).filter(F.size("at") > 1)
     listed = F.array_join(F.transform("at", lambda i: i.cast("string")), ", ")

@@ -108,14 +108,18 @@ def patched_entries(result: DataFrame) -> DataFrame:
 
 
 def affected_entries(result: DataFrame) -> DataFrame:
-    """(``manifest``, ``title``, ``direct``): entries that changed and are there, and those whose backlinks name a changed title."""
+    """(``manifest``, ``entry_index``, ``title``, ``direct``, ``place``): entries that changed and are there, and those whose backlinks name a changed title.
+
+    They are listed in the order of ``place``: what changed itself first, each in the order of the manifest.
+    """
     changed = result.filter(F.col("what") == "change").select("manifest", "title").distinct()
     entries = patched_entries(result)
     direct = entries.join(changed, ["manifest", "title"], "left_semi").select("manifest", "entry_index", "title", F.lit(True).alias("direct"))
     links = entries.select("manifest", "entry_index", "title", F.explode(F.from_json(F.get_json_object("entry", "$.backlinks"), "array<string>")).alias("link"))
     ripple = links.join(changed.select("manifest", F.col("title").alias("link")), ["manifest", "link"], "left_semi").select("manifest", "entry_index", "title").distinct()
     ripple = ripple.join(direct.select("manifest", "entry_index"), ["manifest", "entry_index"], "left_anti")
-    return direct.unionByName(ripple.withColumn("direct", F.lit(False)))
+    order = Window.partitionBy("manifest").orderBy(F.desc("direct"), "entry_index")
+    return direct.unionByName(ripple.withColumn("direct", F.lit(False))).withColumn("place", F.row_number().over(order))
 
 
 def rationale_log(result: DataFrame, epoch: int) -> DataFrame:

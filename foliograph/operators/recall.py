@@ -56,11 +56,23 @@ def innermost(found: Column, line: Column) -> Column:
     return F.get(F.array_sort(order), F.lit(0))["r"]
 
 
+def unique_ids(bases: Column) -> Column:
+    """(``line``, ``id``) of (``line``, ``base``) in order: the base, or the base with the first free number from 2 on if it is in use."""
+
+    def free(done: Column, base: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(done) + 2), lambda n: F.concat(base, F.lit("-"), n.cast("string")))
+        choices = F.concat(F.array(base), numbered)
+        return F.get(F.filter(choices, lambda c: ~F.exists(done, lambda d: d["id"] == c)), F.lit(0))
+
+    none = F.array().cast("array<struct<line:int,id:string>>")
+    return F.aggregate(bases, none, lambda done, b: F.concat(done, F.array(F.struct(b["line"].alias("line"), free(done, b["base"]).alias("id")))))
+
+
 def findings(pages: DataFrame, keys: list[str], content: str = "content", subdivide_root: bool = False) -> DataFrame:
     """One row per finding: ``keys``, line, the id, kind and start of its region, its citation and what that resolves to.
 
     With ``subdivide_root``, findings outside every region belong to the last flush-left bullet outside every
-    region above them, as ``src:<slug>``; titles that would share an id get -2, -3 and so on, in order.
+    region above them, as ``src:<slug>``; a title whose id is in use gets the first of -2, -3 and so on that isn't.
     """
     lines = T.any_lines_of(F.coalesce(F.col(content), F.lit("")))
     rows = R.with_regions(pages, keys, lines, map=citations(F.col("lines")))
@@ -76,8 +88,9 @@ def findings(pages: DataFrame, keys: list[str], content: str = "content", subdiv
         slug = F.substring(T.region_slug(stem), 1, 60)
         base = F.when(opens, F.concat(F.lit("src:"), F.when(slug != "", slug).otherwise("group")))
         marked = marked.withColumn("base", base)
-        nth = F.row_number().over(Window.partitionBy(*keys, "base").orderBy("line"))
-        named = marked.withColumn("id", F.when(F.col("base").isNotNull(), F.when(nth == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), nth))))
+        bases = marked.filter(F.col("base").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "base"))).alias("bases"))
+        ids = bases.select(*keys, F.explode(unique_ids(F.col("bases"))).alias("x")).select(*keys, "x.line", "x.id")
+        named = marked.join(ids, [*keys, "line"], "left")
         above = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         group = F.last(F.when(F.col("id").isNotNull(), F.struct("id", "title")), ignorenulls=True).over(above)
         marked = named.withColumn("group", group)
@@ -100,22 +113,29 @@ def findings(pages: DataFrame, keys: list[str], content: str = "content", subdiv
 def region_recall(pages: DataFrame, keys: list[str], content: str = "content", subdivide_root: bool = False) -> DataFrame:
     """Recall of every region of every page, the root and regions without findings included.
 
-    ``keys``, region, kind, span_start, cited, total, recall (null without findings) and the resolved ids of the
-    cited findings in order.
+    ``keys``, region, kind, span_start, cited, total, recall (null without findings), the resolved ids of the
+    cited findings in order, and ``place``, the order they are read in: the root, the regions by their lines, then
+    the groups by their first finding.
     """
     found = findings(pages, keys, content, subdivide_root)
-    regions = R.page_regions(pages, keys, content).select(*keys, F.col("id").alias("region"), "kind", "span_start")
-    roots = pages.select(*keys, F.lit(ROOT).alias("region"), F.lit("root").alias("kind"), F.lit(-1).alias("span_start"))
+    lines = T.any_lines_of(F.coalesce(F.col(content), F.lit("")))
+    regions = R.with_regions(pages, keys, lines).select(*keys, F.explode("regions").alias("r"))
+    regions = regions.select(*keys, F.col("r.id").alias("region"), "r.kind", "r.span_start", "r.span_end")
+    roots = pages.select(*keys, F.lit(ROOT).alias("region"), F.lit("root").alias("kind"), F.lit(-1).alias("span_start"), F.lit(-1).alias("span_end"))
     none = [F.lit(None).cast("int").alias("line"), F.lit(None).cast("boolean").alias("cited"), F.lit(None).cast("string").alias("finding_id")]
-    every = regions.unionByName(roots).select(*keys, "region", "kind", "span_start", *none)
-    rows = every.unionByName(found.select(*keys, "region", "kind", "span_start", "line", "cited", "finding_id"))
+    every = regions.unionByName(roots).select(*keys, "region", "kind", "span_start", "span_end", *none)
+    rows = every.unionByName(found.select(*keys, "region", "kind", "span_start", F.lit(None).cast("int").alias("span_end"), "line", "cited", "finding_id"))
     ids = F.array_sort(F.collect_list(F.when(F.col("cited") & F.col("finding_id").isNotNull(), F.struct("line", "finding_id"))))
+    group = F.col("region").startswith("src:") & (F.col("kind") == "root")
+    rank = F.when(F.col("region") == ROOT, 0).when(~group, 1).otherwise(2)
+    order = Window.partitionBy(*keys).orderBy("rank", F.when(group, F.col("first")).otherwise(F.col("span_start")), F.col("span_end"), "region")
     return (
         rows.groupBy(*keys, "region", "kind", "span_start")
-        .agg(F.count_if("cited").alias("cited"), F.count("line").alias("total"), ids.alias("ids"))
+        .agg(F.count_if("cited").alias("cited"), F.count("line").alias("total"), ids.alias("ids"), F.min("line").alias("first"), F.max("span_end").alias("span_end"))
+        .withColumn("rank", rank)
         .select(
             *keys, "region", "kind", "span_start", "cited", "total", T.share(F.col("cited"), F.col("total")).alias("recall"),
-            F.transform("ids", lambda x: x["finding_id"]).alias("finding_ids"),
+            F.transform("ids", lambda x: x["finding_id"]).alias("finding_ids"), F.row_number().over(order).alias("place"),
         )
     )
 

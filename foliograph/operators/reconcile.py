@@ -1,29 +1,55 @@
 """Pages that are partly projected from a source: marked regions follow the source, all others are left alone.
 
-A page and its desired form are compared region by region; the source wins. Texts are folded per page by
-functions over a row's text; the table of region hashes from the last run (the bridge) is joined by equality.
-Where nothing says otherwise: a created region is put behind the projected region before it in the source (at
-the end of the page without one), a free region with the id of a desired one stays and the desired one is
-created beside it, and nested projected regions are handled as part of the outer one.
+A page and its desired form are compared region by region; the source wins. Regions are those of
+:mod:`foliograph.operators.regions` in all their forms, told here for one text at a time; the outermost projected
+ones count, and whatever lies between them is free. The table of region hashes from the last run (the bridge) is
+joined by equality. Where nothing says otherwise: a created region is put behind the projected region before it in
+the source (at the end of the page without one), and a free region with the id of a desired one stays and the
+desired one is created beside it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliograph.functions import text as T
+from foliograph.operators import recall, transform
 from foliograph.operators import regions as R
+from foliograph.operators.pages import resolve
+from foliograph.sources import present
 
-_heading = re.compile(r"(#{1,6})\s+(.+?)\s*\Z")
-_marker = re.compile(r"""<!--\s*projected:\s*(?:.*?\bsource=["']([^"']+)["'])?.*?-->\s*\Z""")
-_anchor = re.compile(r"<(?:Region|SectionHeading)\b[^>]*\bprojected\b")
-_source = re.compile(r"""\bsource=["']([^"']+)["']""")
+_heading = re.compile(R.HEADING.replace(r"\z", r"\Z"))
+_section_heading, _opens, _closes, _component, _component_end = (
+    re.compile(p.replace(r"\z", r"\Z")) for p in (R.SECTION_HEADING, R.COMMENT_OPEN, R.COMMENT_CLOSE, R.COMPONENT_OPEN, R.COMPONENT_CLOSE)
+)
+_id, _level, _source = (re.compile(p) for p in (R.ID_ATTRIBUTE, R.LEVEL_ATTRIBUTE, R.SOURCE_ATTRIBUTE))
+_anchor = re.compile(R.PROJECTED_ANCHOR)
+_comment = re.compile(R.PROJECTED_COMMENT.replace(r"\z", r"\Z"))
 _grounded = re.compile(r"(?m)^\s*citation-recall::")
+_recall = re.compile(r"(?m)^\s*citation-recall::\s*([0-9.]+)")
+
+#: In what order verdicts and states are shown.
+VERDICTS = ("remove", "regenerate", "create", "unchanged")
+STATES = ("hash-mismatch", "orphan", "stale", "synced")
+
+
+@dataclass(frozen=True)
+class Region:
+    """A region of a page: its lines from ``start`` to before ``end``, body included, and where it is projected from."""
+
+    id: str
+    start: int
+    end: int
+    body: str
+    text: str
+    source: str | None
 
 
 def slug(text: str) -> str:
@@ -37,37 +63,68 @@ def body_hash(body: str) -> str:
     return hashlib.sha256("\n".join(x for x in lines if x).encode()).hexdigest()[:16]
 
 
-def sections(content: str) -> list[dict]:
-    """Top-most heading sections of a page: id, lines from ``start`` to before ``end``, and source if projected."""
+def projected_marker(anchor: str, body: list[str]) -> str | None:
+    """Where a region comes from: named by its anchor, else by the comment its body begins with; None if it is free."""
+    if _anchor.search(anchor):
+        found = _source.search(anchor)
+    else:
+        marker = _comment.match(next((x.strip() for x in body if x.strip()), ""))
+        found = _source.search(marker[1]) if marker else None
+    return found[1] if found else None
+
+
+def _heads(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(line, level, id) of headings, those written as components included."""
+    out = []
+    for i, x in enumerate(lines):
+        if (m := _heading.match(x)) is not None:
+            out.append((i, len(m[1]), slug(m[2])))
+        elif _section_heading.match(x) and (m := _id.search(x)) is not None:
+            level = _level.search(x)
+            out.append((i, int(level[1]) if level else 2, m[1]))
+    return out
+
+
+def regions(content: str) -> list[Region]:
+    """All regions of a page in the order of their lines, an outer one before an inner one."""
     lines = content.split("\n")
-    heads = [(i, len(m[1]), slug(m[2])) for i, x in enumerate(lines) if (m := _heading.match(x))]
-    out: list[dict] = []
+    out: list[Region] = []
+
+    def add(name: str, start: int, end: int, body: list[str]) -> None:
+        out.append(Region(name, start, end, "\n".join(body), "\n".join(lines[start:end]), projected_marker(lines[start], body)))
+
+    heads = _heads(lines)
     for k, (i, level, name) in enumerate(heads):
         end = next((j for j, other, _ in heads[k + 1 :] if other <= level), len(lines))
-        if out and i < out[-1]["end"] and out[-1]["source"] is not None:
-            continue
-        first = next((x.strip() for x in lines[i + 1 : end] if x.strip()), "")
-        marked = _marker.match(first)
-        stop = end if marked else next((j for j, _, _ in heads[k + 1 :]), len(lines))
-        out.append({"id": name, "start": i, "end": stop, "source": (marked[1] or "") if marked else None, "text": "\n".join(lines[i:stop])})
+        add(name, i, end, lines[i + 1 : end])
+    for opening, closing in ((_opens, _closes), (_component, _component_end)):
+        for i, x in enumerate(lines):
+            if (m := opening.match(x)) is not None:
+                end = next((j for j in range(i + 1, len(lines)) if closing.match(lines[j])), None)
+                if end is not None:
+                    add(m[1], i, end + 1, lines[i + 1 : end])
+    return sorted(out, key=lambda r: (r.start, -r.end))
+
+
+def projected_regions(content: str) -> list[Region]:
+    """The outermost projected regions, which therefore don't overlap; of an id that comes twice the first counts."""
+    out: list[Region] = []
+    seen: set[str] = set()
+    for r in regions(content):
+        if r.source is not None and r.id not in seen and (not out or r.start >= out[-1].end):
+            out.append(r)
+            seen.add(r.id)
     return out
 
 
-def _body(section: dict) -> str:
-    return section["text"].partition("\n")[2]
-
-
 def stamp(content: str, title: str) -> str:
     """The page with a marker below every heading that says which region of ``title`` it comes from; stamped ones stay."""
-    out: list[str] = []
     lines = content.split("\n")
-    for i, line in enumerate(lines):
-        out.append(line)
-        if (m := _heading.match(line)) is not None:
-            following = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-            if not _marker.match(following):
-                out.append(f'<!-- projected: source="{title}#{slug(m[2])}" -->')
-    return "\n".join(out)
+    after = {}
+    for k, (i, _, name) in enumerate(_heads(lines)):
+        if projected_marker(lines[i], lines[i + 1 :]) is None:
+            after[i] = f'<!-- projected: source="{title}#{name}" -->'
+    return "\n".join(x for i, line in enumerate(lines) for x in ((line, after[i]) if i in after else (line,)))
 
 
 def plan(desired: str, current: str, prior: dict[str, str] | None = None) -> list[dict]:
@@ -75,53 +132,72 @@ def plan(desired: str, current: str, prior: dict[str, str] | None = None) -> lis
 
     ``prior``: hash of each region's body at the last run.
     """
-    want = {s["id"]: s for s in sections(desired) if s["source"] is not None}
-    have = {s["id"]: s for s in sections(current) if s["source"] is not None}
+    want = {r.id: r for r in projected_regions(desired)}
+    have = {r.id: r for r in projected_regions(current)}
     items = []
-    for name, s in want.items():
+    for name, r in want.items():
         old = have.get(name)
-        edited = old is not None and prior is not None and name in prior and body_hash(_body(old)) != prior[name]
-        verdict = "create" if old is None else "unchanged" if body_hash(_body(old)) == body_hash(_body(s)) else "regenerate"
-        items.append({"id": name, "source": s["source"], "verdict": verdict, "drift": "hand-edited" if edited else None})
-    items += [{"id": name, "source": s["source"], "verdict": "remove", "drift": None} for name, s in have.items() if name not in want]
+        edited = old is not None and prior is not None and name in prior and body_hash(old.body) != prior[name]
+        verdict = "create" if old is None else "unchanged" if body_hash(old.body) == body_hash(r.body) else "regenerate"
+        items.append({"id": name, "source": r.source, "verdict": verdict, "drift": "hand-edited" if edited else None})
+    items += [{"id": name, "source": r.source, "verdict": "remove", "drift": None} for name, r in have.items() if name not in want]
     return items
 
 
 def bridge_of(content: str) -> dict[str, str]:
     """Hash of the body of every projected region."""
-    return {s["id"]: body_hash(_body(s)) for s in sections(content) if s["source"] is not None}
+    return {r.id: body_hash(r.body) for r in projected_regions(content)}
+
+
+def _blocks(content: str) -> list[tuple[str | None, str]]:
+    """The page as (id, text): projected regions, and the free stretches between them with no id."""
+    lines = content.split("\n")
+    out: list[tuple[str | None, str]] = []
+    at = 0
+    for r in projected_regions(content):
+        if r.start > at:
+            out.append((None, "\n".join(lines[at : r.start])))
+        out.append((r.id, r.text))
+        at = r.end
+    return out + ([(None, "\n".join(lines[at:]))] if at < len(lines) and "".join(lines[at:]) else [])
+
+
+def _ordered(blocks: list[tuple[str | None, str]], order: list[str]) -> tuple[list[tuple[str | None, str]], list[str]]:
+    """Blocks whose projected regions take their places in the order of the source, and the ids that moved; free ones stay."""
+    places = [k for k, (name, _) in enumerate(blocks) if name in order]
+    by_id = {name: text for name, text in blocks if name is not None}
+    ranked = sorted((blocks[k][0] for k in places), key=order.index)
+    moved = [name for k, name in zip(places, ranked) if blocks[k][0] != name]
+    out = list(blocks)
+    for k, name in zip(places, ranked):
+        out[k] = (name, by_id[name])
+    return out, moved
+
+
+def reorder(current: str, desired: str) -> dict:
+    """(``content``, ``moved``): the page with its projected regions in the order of the source."""
+    blocks, moved = _ordered(_blocks(current), [r.id for r in projected_regions(desired)])
+    return {"content": "\n".join(_spaced([text for _, text in blocks])) if moved else current, "moved": moved}
 
 
 def apply(desired: str, current: str, prior: dict[str, str] | None = None) -> dict:
     """The page after the source has won, with what was done; applying again changes nothing."""
     items = plan(desired, current, prior)
-    done = {v: [i["id"] for i in items if i["verdict"] == v] for v in ("create", "regenerate", "remove", "unchanged")}
-    want = [s for s in sections(desired) if s["source"] is not None]
-    parts = sections(current)
-    lines = current.split("\n")
-    head = "\n".join(lines[: parts[0]["start"]]) if parts else current
-    by_id = {s["id"]: s for s in want}
-    kept = []
-    for s in parts:
-        if s["source"] is None:
-            kept.append((None, s["text"]))
-        elif s["id"] in by_id:
-            kept.append((s["id"], by_id[s["id"]]["text"] if s["id"] in done["regenerate"] else s["text"]))
-    # Projected regions take the places they have in the order of the source; free ones don't move.
-    order = [s["id"] for s in want]
-    places = [k for k, (name, _) in enumerate(kept) if name is not None]
-    texts = {name: text for name, text in kept if name is not None}
-    ranked = [name for name in order if name in texts]
-    moved = [kept[k][0] for k in places] != ranked
-    for k, name in zip(places, ranked):
-        kept[k] = (name, texts[name])
-    for k, s in enumerate(want):
-        if s["id"] in done["create"]:
-            before = order[:k]
-            at = max((i + 1 for i, (name, _) in enumerate(kept) if name in before), default=len(kept))
-            kept.insert(at, (s["id"], s["text"]))
-    blocks = ([head] if head.strip() or not kept else []) + [text for _, text in kept]
-    content = "\n".join(_spaced(blocks)) if done["create"] or done["remove"] or done["regenerate"] or moved else current
+    done = {v: [i["id"] for i in items if i["verdict"] == v] for v in VERDICTS}
+    want = projected_regions(desired)
+    new = {r.id: r.text for r in want}
+    order = list(new)
+    kept = [(name, new[name] if name in done["regenerate"] else text) for name, text in _blocks(current) if name is None or name in new]
+    kept, moved = _ordered(kept, order)
+    for k, name in enumerate(order):
+        if name in done["create"]:
+            at = max((i + 1 for i, (other, _) in enumerate(kept) if other in order[:k]), default=len(kept))
+            kept.insert(at, (name, new[name]))
+    texts = [text for _, text in kept if text]
+    if moved or done["create"]:  # what comes to stand beside other text gets a line between
+        content = "\n".join(_spaced(texts))
+    else:
+        content = "\n".join(texts) if done["remove"] or done["regenerate"] else current
     return {
         "content": content,
         "bridge": bridge_of(content),
@@ -152,7 +228,7 @@ def is_grounded(content: Column) -> Column:
 _PLAN = "page string, id string, source string, verdict string, drift string"
 _DONE = (
     "page string, content string, bridge map<string,string>, created array<string>, regenerated array<string>, removed array<string>, "
-    "unchanged array<string>, reordered boolean, hand_edited array<string>, first_run boolean"
+    "unchanged array<string>, reordered array<string>, hand_edited array<string>, first_run boolean"
 )
 
 
@@ -216,3 +292,95 @@ def bridge_health(pages: DataFrame, bridge: DataFrame, fresh: DataFrame | None =
 def health_counts(health: DataFrame) -> DataFrame:
     """Regions of the bridge by state."""
     return health.groupBy("state").agg(F.count("*").alias("regions"))
+
+
+def faithfulness_gate(content: Column, least: float | None) -> Column:
+    """Why a grounded source mustn't be projected, null if it may: its stated recall is below ``least``, or unreadable.
+
+    Sources that don't say how well they are cited aren't held back, nor is anything without ``least``.
+    """
+    if least is None:
+        return F.lit(None).cast("string")
+    value = F.regexp_extract(content, _recall.pattern, 1)
+    number = F.try_to_number(value, F.lit("9.9999999999")).cast("double")
+    low = F.concat(F.lit("recall "), value, F.lit(f" is below {least}"))
+    reason = F.when(F.coalesce(number, F.lit(-1.0)) < 0, "recall can't be read").when(number < least, low)
+    return F.when(is_grounded(content), reason)
+
+
+def project_source(raw: str | None, slugs: dict[str, str] | None = None) -> str | None:
+    """A source page as its target shows it: without leading properties, as :func:`foliograph.operators.transform.site_text` writes it."""
+    return None if raw is None else transform.site_text(_property_block.sub("", raw, count=1), slugs)
+
+
+_property_block = re.compile(
+    T.java_free(rf"\A(?:{T.LINE_BLANK}*\n)*(?:(?:{T.PROPERTY}(?:\n|\Z))+(?:{T.LINE_BLANK}*(?:\n|\Z))?)?")
+)
+
+
+def slug_map(entries: DataFrame) -> DataFrame:
+    """(``graph``, ``title``, ``slug``) of the published entries; excluded ones are dropped."""
+    shown = entries.filter(~F.coalesce("exclude", F.lit(False)) & present(F.col("title")))
+    return shown.select("graph", "title", T.route_slug(F.col("title")).alias("slug")).distinct()
+
+
+def reconcile_manifest(entries: DataFrame, pages: DataFrame, targets: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """One row per published entry of every manifest: its page projected, stamped and reconciled with what is there.
+
+    ``entries``: (graph, entry_index, title, file, exclude); ``pages``: (graph, title, file, content); ``targets``:
+    (graph, slug, content, prior), the pages as they are and their bridge, absent ones being new. Out come graph,
+    slug, title, ``error`` (no source page), ``gate`` (why the source is held back), ``grounded``, and what
+    :func:`apply` did, ``first_run`` without a bridge. Of entries with one slug the last holds. Nothing is written.
+    """
+    shown = entries.filter(~F.coalesce("exclude", F.lit(False)) & present(F.col("title")))
+    last = shown.withColumn("slug", T.route_slug(F.col("title"))).groupBy("graph", "slug").agg(F.max_by(F.struct("entry_index", "title", "file"), "entry_index").alias("r"))
+    placed = resolve(last.select("graph", "slug", "r.*"), pages)
+    rows = placed.join(pages.select("graph", F.col("file").alias("page_file"), "content"), ["graph", "page_file"], "left")
+    keys = ["graph", "slug"]
+    rows = rows.join(transform.link_slugs(rows.filter(F.col("content").isNotNull()), shown.select("graph", "title"), keys), keys, "left")
+    project = F.udf(lambda raw, slugs, title: None if raw is None else stamp(project_source(raw, slugs), title), StringType(), useArrow=True)
+    rows = rows.select(
+        *keys, "title", F.when(F.col("page_file").isNull(), "no page").alias("error"), faithfulness_gate(F.col("content"), least).alias("gate"),
+        F.coalesce(is_grounded(F.col("content")), F.lit(False)).alias("grounded"), project("content", "slugs", "title").alias("desired"),
+    )
+    if targets is None:
+        rows = rows.withColumn("current", F.lit("")).withColumn("prior", F.lit(None).cast("map<string,string>"))
+    else:
+        rows = rows.join(targets.select(*keys, F.col("content").alias("current"), "prior"), keys, "left")
+    names = [x.split()[0] for x in _DONE.split(", ")[1:]]
+    head = ["graph", "slug", "title", "error", "gate", "grounded"]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                row = {c: getattr(r, c) for c in head}
+                if row["error"] is None and row["gate"] is None:
+                    row |= {**apply(r.desired, r.current or "", None if r.prior is None else dict(r.prior)), "first_run": r.prior is None}
+                out.append(row)
+            yield pd.DataFrame(out, columns=[*head, *names]).astype(object).where(lambda d: d.notna(), None)
+
+    schema = "graph string, slug string, title string, error string, gate string, grounded boolean, " + _DONE.removeprefix("page string, ")
+    return rows.mapInPandas(run, schema)
+
+
+def batch_summary(done: DataFrame) -> DataFrame:
+    """(``graph``, ``entries``, ``errors``, ``held_back``, ``drifted``, ``first_runs``): what a batch came to."""
+    return done.groupBy("graph").agg(
+        F.count("*").alias("entries"),
+        F.count("error").alias("errors"),
+        F.count("gate").alias("held_back"),
+        F.count_if(F.size("hand_edited") > 0).alias("drifted"),
+        F.count_if("first_run").alias("first_runs"),
+    )
+
+
+def recall_of_targets(done: DataFrame) -> DataFrame:
+    """(``page``, ``line``): the recall of every grounded page as reconciled, its root divided by source."""
+    pages = done.filter(F.col("grounded") & F.col("content").isNotNull()).select(F.col("slug").alias("page"), "graph", "content")
+    return recall.recall_lines(recall.region_recall(pages, ["graph", "page"], subdivide_root=True), ["graph", "page"])
+
+
+def shown_order(column: str, values: tuple[str, ...]) -> Column:
+    """Place of a verdict or state in the order it is shown; unknown ones last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(column)), F.lit(0)), F.lit(len(values) + 1))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.functions import text as T
+from foliograph.operators.pages import resolve
 from foliograph.session import cut_lineage
 
 HUB_FACTOR = 0.15
@@ -82,20 +84,37 @@ def boundary(edges: DataFrame, nodes: DataFrame, selected: DataFrame) -> DataFra
     )
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
-    """(``graph``, ``title``, ``hop``): pages within ``hops`` links of ``start`` that aren't in it."""
-    known = nodes.select("graph", "title").distinct()
+def neighbours(pages: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
+    """(``graph``, ``title``, ``hop``): titles within ``hops`` links of ``start`` that have a page and aren't in it.
+
+    ``pages``: (graph, title, file, content). Both ends of a link are found by the file names a title can have, as
+    everywhere a title is looked up; links are all titles a page's text names, journal days that have a page included.
+    """
     start = start.select("graph", "title").distinct()
+    linked = pages.filter(F.col("content").contains("[[")).select("graph", F.col("file").alias("page_file"), F.explode(T.links(F.col("content"))).alias("title"))
     found = None
     frontier = start
     for hop in range(1, hops + 1):
-        linked = edges.join(frontier.select("graph", F.col("title").alias("src")), ["graph", "src"], "left_semi")
-        new = linked.select("graph", F.col("dst").alias("title")).distinct().join(start, ["graph", "title"], "left_anti")
+        read = resolve(frontier, pages, file=None).filter(F.col("page_file").isNotNull()).select("graph", "page_file").distinct()
+        new = linked.join(read, ["graph", "page_file"], "left_semi").select("graph", "title").distinct().join(start, ["graph", "title"], "left_anti")
         if found is not None:
             new = new.join(found.select("graph", "title"), ["graph", "title"], "left_anti")
-        new = cut_lineage(new.join(known, ["graph", "title"], "left_semi").select("graph", "title", F.lit(hop).alias("hop")))
+        there = resolve(new, pages, file=None).filter(F.col("page_file").isNotNull())
+        new = cut_lineage(there.select("graph", "title", F.lit(hop).alias("hop")))
         found = new if found is None else found.unionByName(new)
         frontier = new
-        if new.isEmpty():
+        if hop < hops and new.isEmpty():
             break
     return found if found is not None else start.select("graph", "title", F.lit(0).alias("hop")).limit(0)
+
+
+def ranked_pages(selected: DataFrame) -> DataFrame:
+    """``selected`` with ``place`` in its graph: by hop, then score, then the title as a reader sorts it."""
+    order = Window.partitionBy("graph").orderBy("hop", F.desc("score"), F.collate("title", "UNICODE"), "title")
+    return selected.withColumn("place", F.row_number().over(order))
+
+
+def ranked_boundary(edge: DataFrame) -> DataFrame:
+    """``edge`` with ``place`` in its graph: by the number of references, then the title as a reader sorts it."""
+    order = Window.partitionBy("graph").orderBy(F.desc("refs"), F.collate("title", "UNICODE"), "title")
+    return edge.withColumn("place", F.row_number().over(order))

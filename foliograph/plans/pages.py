@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
-from foliograph.operators import drift, placement, projection, recall, regions, subgraph, transform
+from foliograph.operators import drift, placement, projection, subgraph, transform
 from foliograph.operators import pages as P
+from foliograph.plans import dialect as D
 from foliograph.sources import latest_rows, load, present
 
 #: The present of the queries that compare with it.
@@ -34,6 +35,14 @@ def _bodies(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("body_id", F.coalesce("body", F.lit("")).alias("content"))
 
 
+def _placed(spark: SparkSession, base: str) -> DataFrame:
+    return P.resolve(_entries(spark, base), _pages(spark, base))
+
+
+def _of_kind(findings: DataFrame, kind: str) -> DataFrame:
+    return findings.filter(F.col("kind") == kind)
+
+
 def _seeds(spark: SparkSession, base: str) -> DataFrame:
     """Every seed of every manifest in its order; a title given twice stays twice."""
     seeds = _entries(spark, base).filter(F.col("tier") == "seed")
@@ -62,8 +71,8 @@ def r_linked(spark: SparkSession, base: str) -> DataFrame:
 
 
 def r_hubs(spark: SparkSession, base: str) -> DataFrame:
-    """Pages with more than 12 links out."""
-    return P.out_degrees(P.outlinks(_pages(spark, base))).filter(F.col("degree") > 12)
+    """Pages with more than 4 links out."""
+    return P.out_degrees(P.outlinks(_pages(spark, base))).filter(F.col("degree") > 4)
 
 
 def r_resolved(spark: SparkSession, base: str) -> DataFrame:
@@ -82,33 +91,6 @@ def r_assets(spark: SparkSession, base: str) -> DataFrame:
     return _bodies(spark, base).select(F.explode(T.image_assets(F.col("content"))).alias("asset")).groupBy("asset").agg(F.count("*").alias("bodies"))
 
 
-def r_regions(spark: SparkSession, base: str) -> DataFrame:
-    """Regions of every body with their lines and hash."""
-    return regions.page_regions(_bodies(spark, base), ["body_id"])
-
-
-def r_findings(spark: SparkSession, base: str) -> DataFrame:
-    """Findings of the bodies and whether they are cited."""
-    return recall.findings(_bodies(spark, base), ["body_id"]).select("body_id", "line", "cited")
-
-
-def r_recall(spark: SparkSession, base: str) -> DataFrame:
-    """Citation recall of every region with findings."""
-    rows = recall.region_recall(_bodies(spark, base), ["body_id"]).filter(F.col("total") > 0)
-    return rows.select("body_id", "region", "kind", "span_start", "cited", "total", "recall")
-
-
-def r_recall_sources(spark: SparkSession, base: str) -> DataFrame:
-    """Citation recall with the root divided by source."""
-    rows = recall.region_recall(_bodies(spark, base), ["body_id"], subdivide_root=True).filter(F.col("total") > 0)
-    return rows.select("body_id", "region", "kind", "cited", "total")
-
-
-def r_page_recall(spark: SparkSession, base: str) -> DataFrame:
-    """Citation recall of every body."""
-    return recall.page_recall(_bodies(spark, base), ["body_id"])
-
-
 def r_subgraph(spark: SparkSession, base: str) -> DataFrame:
     """Pages selected around the seeds of every manifest."""
     pages = _pages(spark, base)
@@ -126,16 +108,31 @@ def r_boundary(spark: SparkSession, base: str) -> DataFrame:
 def r_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """Pages one link away from a manifest that aren't in it."""
     pages = _pages(spark, base)
-    return subgraph.neighbours(P.outlinks(pages), pages, _entries(spark, base), 1)
+    return subgraph.neighbours(pages, _entries(spark, base), 1)
 
 
 def r_audit(spark: SparkSession, base: str) -> DataFrame:
     """All drift findings of all manifests."""
     pages, entries = _pages(spark, base), _entries(spark, base)
-    near = subgraph.neighbours(P.outlinks(pages), pages, entries, 1)
+    near = subgraph.neighbours(pages, entries, 1)
     return drift.audit(entries, pages, near, NOW, known_modes=MODES)
 
 
+def r_ranked_findings(spark: SparkSession, base: str) -> DataFrame:
+    """All findings of a manifest in the order they are read."""
+    return drift.ranked(r_audit(spark, base)).select("graph", "id", "place")
+
+
+def r_ranked_pages(spark: SparkSession, base: str) -> DataFrame:
+    """The pages selected around the seeds, and the titles outside, in the order they are listed."""
+    pages = _pages(spark, base)
+    edges = P.outlinks(pages)
+    chosen = subgraph.select_subgraph(edges, pages, _seeds(spark, base), hub_outdegree=12)
+    inside = subgraph.ranked_pages(chosen).select("graph", "title", F.lit("page").alias("what"), "place")
+    outside = subgraph.ranked_boundary(subgraph.boundary(edges, pages, chosen)).select("graph", "title", F.lit("boundary").alias("what"), "place")
+    return inside.unionByName(outside)
+
+
 def r_severities(spark: SparkSession, base: str) -> DataFrame:
     """Findings per manifest and severity."""
     return drift.severity_counts(r_audit(spark, base))
@@ -143,27 +140,27 @@ def r_severities(spark: SparkSession, base: str) -> DataFrame:
 
 def r_broken_filters(spark: SparkSession, base: str) -> DataFrame:
     """Filters that splice what isn't a published entry."""
-    return drift.broken_references(_entries(spark, base)).select("graph", "id", "detail")
+    return _of_kind(drift.filter_findings(_entries(spark, base), MODES), "filter-reference-broken").select("graph", "id", "detail")
 
 
 def r_self_filters(spark: SparkSession, base: str) -> DataFrame:
     """Filters that splice an entry into itself."""
-    return drift.self_references(_entries(spark, base)).select("graph", "id")
+    return _of_kind(drift.filter_findings(_entries(spark, base), MODES), "filter-self-reference").select("graph", "id")
 
 
 def r_redact_conflicts(spark: SparkSession, base: str) -> DataFrame:
     """Entries that redact in two ways."""
-    return drift.redact_conflicts(_entries(spark, base)).select("graph", "entry_index", "title")
+    return _of_kind(drift.entry_findings(_placed(spark, base)), "filter-redact-conflict").select("graph", "entry_index", "title")
 
 
 def r_unknown_modes(spark: SparkSession, base: str) -> DataFrame:
     """Filters with a redact mode the host doesn't have."""
-    return drift.unknown_modes(_entries(spark, base), MODES).select("graph", "id")
+    return _of_kind(drift.filter_findings(_entries(spark, base), MODES), "filter-redact-mode-unknown").select("graph", "id")
 
 
 def r_missing_sources(spark: SparkSession, base: str) -> DataFrame:
     """Entries without a page."""
-    return drift.missing_sources(_entries(spark, base), _pages(spark, base)).select("graph", "entry_index", "title")
+    return _of_kind(drift.entry_findings(_placed(spark, base)), "source-missing").select("graph", "entry_index", "title")
 
 
 def r_cycles(spark: SparkSession, base: str) -> DataFrame:
@@ -172,8 +169,11 @@ def r_cycles(spark: SparkSession, base: str) -> DataFrame:
 
 
 def r_stale(spark: SparkSession, base: str) -> DataFrame:
-    """Blocks verified too long ago."""
-    return drift.stale_blocks(_entries(spark, base), _pages(spark, base), NOW).select("graph", "id", "detail")
+    """Blocks verified too long ago, if every page ended with a block verified on the day it was created."""
+    created = latest_rows(load(spark, base, "graph_pages"), "page_id", ["created_at"])
+    day = F.date_format("created_at", "yyyy-MM-dd")
+    pages = _pages(spark, base).join(created, "page_id").withColumn("content", F.concat("content", F.lit("\n- checked\n  verified:: [["), day, F.lit("]]")))
+    return drift.stale_blocks(_entries(spark, base), pages, NOW).select("graph", "id", "detail")
 
 
 def r_duplicates(spark: SparkSession, base: str) -> DataFrame:
@@ -191,7 +191,7 @@ def r_placement(spark: SparkSession, base: str) -> DataFrame:
     """The three best sections for every page a manifest's pages link to."""
     pages, entries = _pages(spark, base), _entries(spark, base)
     meta = P.page_metadata(pages)
-    return placement.propose(subgraph.neighbours(P.outlinks(pages), pages, entries, 1), entries, meta)
+    return placement.propose(subgraph.neighbours(pages, entries, 1), entries, meta)
 
 
 def r_backlinks(spark: SparkSession, base: str) -> DataFrame:
@@ -235,91 +235,88 @@ def r_dependencies(spark: SparkSession, base: str) -> DataFrame:
     return projection.dependencies(_entries(spark, base), _pages(spark, base))
 
 
-def r_hashes(spark: SparkSession, base: str) -> DataFrame:
-    """Content hash of every body."""
-    return _bodies(spark, base).select("body_id", T.content_hash(F.col("content")).alias("content_hash"))
-
-
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("r_")}
 
-_PAGES = """
-    latest AS (SELECT page_id, max_by(graph_path, loaded_at) AS graph, max_by(title, loaded_at) AS title, max_by(file, loaded_at) AS file,
-                      coalesce(arg_max_null(raw_content, loaded_at), '') AS content, max(created_at) AS c, arg_max_null(deleted_at, loaded_at) AS d
-               FROM graph_pages GROUP BY page_id),
-    pages AS (SELECT * FROM latest WHERE d IS NULL QUALIFY row_number() OVER (PARTITION BY graph, title ORDER BY c DESC, page_id DESC) = 1)"""
-_ENTRIES = """
-    entries AS (SELECT entry_id, any_value(graph_path) AS graph, any_value(entry_index) AS entry_index, any_value(title) AS title,
-                       any_value(tier) AS tier, any_value(backlinks) AS backlinks, any_value(exclude) AS exclude, any_value(redact) AS redact,
-                       any_value(file) AS file, any_value(filters) AS filters
-                FROM publish_entries GROUP BY entry_id),
-    filt AS (SELECT graph, entry_index, title, pos - 1 AS pos, f.prepend AS prepend, f.append AS append, f.redact AS mode
-             FROM (SELECT graph, entry_index, title, unnest(filters) AS f, generate_subscripts(filters, 1) AS pos FROM entries))"""
-_BODIES = "bodies AS (SELECT body_id, coalesce(any_value(body), '') AS content FROM page_bodies GROUP BY body_id)"
-_DECODE = (
-    "replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&sect;', '§'), '&mdash;', '—'), '&ndash;', '–'), '&nbsp;', ' '), "
-    "'&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&hellip;', '…'), '&amp;', '&')"
+def _finding(kind: str, key: str, rest: str, index: str = "entry_index::INT", title: str = "title", detail: str = "NULL") -> str:
+    """One kind of finding as rows of the audit."""
+    return f"SELECT graph, '{kind}:' || {key} AS id, '{kind}' AS kind, '{drift.KINDS[kind]}' AS severity, {index} AS entry_index, {title} AS title, {detail} AS detail FROM {rest}"
+
+
+_LAST = "last AS (SELECT graph, title, max_by(coalesce(exclude, false), entry_index) AS out, max(entry_index) AS entry_index FROM entries GROUP BY ALL)"
+#: Circles of at most all entries: paths from the smallest title of each, without coming to one twice.
+_CIRCLES = f"""{_LAST},
+    ref AS (SELECT DISTINCT f.graph, f.title, coalesce(prepend, append) AS ref FROM filt f JOIN last h ON h.graph = f.graph AND h.title = f.title AND h.entry_index = f.entry_index
+            JOIN last l ON l.graph = f.graph AND l.title = coalesce(prepend, append) AND NOT l.out WHERE coalesce(prepend, append) <> f.title),
+    walk AS (SELECT graph, title AS start, ref AS spot, [title] AS path FROM ref WHERE ref > title
+             UNION ALL SELECT w.graph, start, ref.ref, list_append(path, spot) FROM walk w JOIN ref ON ref.graph = w.graph AND ref.title = w.spot WHERE w.spot <> start AND NOT list_contains(path, w.spot) AND ref.ref >= start),
+    circle AS (SELECT DISTINCT graph, start, array_to_string(path, '->') AS path FROM walk WHERE spot = start)"""
+_STALE = r"""
+    vl AS (SELECT graph, title, entry_index, i, x, try_strptime(nullif(regexp_extract(x, '^\s*verified::\s*(?:\[\[)?(\d{4}-\d{2}-\d{2})(?:\]\])?\s*$', 1), ''), '%Y-%m-%d') AS day FROM (
+           SELECT graph, title, entry_index, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM seen)),
+    old AS (SELECT *, floor(date_diff('millisecond', day, TIMESTAMP '2025-07-01') / 86400000.0)::BIGINT AS age FROM vl WHERE date_diff('millisecond', day, TIMESTAMP '2025-07-01') > 180 * 86400000::BIGINT),
+    stale AS (SELECT o.graph, o.title, o.entry_index, o.i, o.day, concat_ws(' ', any_value(o.age)::VARCHAR, substr(max_by(n.t, n.i), 1, 120)) AS detail
+              FROM old o LEFT JOIN (SELECT graph, title, entry_index, i, trim(regexp_extract(x, '^\s*[-*]\s+(.*)$', 1)) AS t FROM vl) n
+                   ON n.graph = o.graph AND n.title = o.title AND n.entry_index = o.entry_index AND n.i BETWEEN o.i - 6 AND o.i - 1 AND n.t <> '' GROUP BY o.graph, o.title, o.entry_index, o.i, o.day)"""
+_AUDIT = "\n UNION ALL ".join(
+    [
+        _finding("source-missing", "title", "resolved WHERE page_file IS NULL"),
+        _finding("file-title-mismatch", "r.title", "resolved r JOIN entries e USING (graph, entry_index, title) WHERE page_file IS NOT NULL AND file <> '' AND NOT ends_with('/' || page_file, '/' || file)", title="r.title"),
+        _finding("filter-redact-conflict", "title", "entries WHERE redact IS NOT NULL AND len(list_filter(filters, lambda f: f.redact IS NOT NULL)) > 0"),
+        _finding("filter-self-reference", "title || '#' || pos", "filt WHERE coalesce(prepend, append) = title"),
+        _finding(
+            "filter-reference-broken", "f.title || '#' || pos || ':' || coalesce(prepend, append)",
+            "(SELECT f.*, l.out FROM filt f LEFT JOIN last l ON l.graph = f.graph AND l.title = coalesce(f.prepend, f.append)) f WHERE coalesce(prepend, append) <> title AND coalesce(out, true)",
+            detail="CASE WHEN out IS NULL THEN 'absent' ELSE 'excluded' END",
+        ),
+        _finding("filter-redact-mode-unknown", "title || '#' || pos || ':' || mode", "filt WHERE mode NOT IN ('none', 'names', 'light')"),
+        _finding("filter-cycle", "path", "circle c JOIN (SELECT graph, title AS start, entry_index FROM last) USING (graph, start)", title="start", detail="path"),
+        _finding("candidate-page", "title", "(SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY graph ORDER BY title) <= 25)", index="NULL::INT"),
+        _finding("candidate-page", "'__truncation_marker__'", "(SELECT graph, count(*) - 25 AS more FROM near GROUP BY graph HAVING count(*) > 25)", index="NULL::INT", title="NULL", detail="more::VARCHAR"),
+    ]
 )
-_LINK = r"'\[\[([^\[\]|]+?)(?:\|[^\]]+)?\]\]'"
-_EDGES = rf"""
-    line AS (SELECT graph, title AS src, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM pages),
-    body AS (SELECT *, coalesce(bool_or(NOT regexp_matches(x, '^[A-Za-z0-9_-]+::') AND trim(x, E' \t\r') <> '') OVER (PARTITION BY graph, src ORDER BY i), false) AS after FROM line),
-    link AS (SELECT graph, src, {_DECODE.format("trim(t, E' \\t\\r\\n')")} AS dst, CASE WHEN NOT after AND regexp_matches(x, '^(?i:related)::\s*\S') THEN 2 ELSE 1 END AS weight
-             FROM (SELECT *, unnest(regexp_extract_all(x, {_LINK}, 1)) AS t FROM body)),
-    edge AS (SELECT graph, src, dst, max(weight) AS weight FROM link
-             WHERE dst <> '' AND dst <> src AND NOT regexp_matches(dst, '^\d{{4}}-\d{{2}}-\d{{2}}$') GROUP BY ALL)"""
-_RESOLVED = """
-    tries AS (SELECT graph, entry_index, title, 0 AS rank, file AS name FROM entries WHERE file <> ''
-              UNION ALL SELECT graph, entry_index, title, k, n || '.md' FROM (
-                  SELECT graph, entry_index, title, unnest([0, 1, 2, 3, 4]) AS k,
-                         unnest([title, replace(title, '/', '___'), replace(title, ':', '%3A'), replace(title, '?', '%3F'), replace(title, '"', '%22')]) AS n
-                  FROM entries WHERE file IS NULL OR file = '')),
-    resolved AS (SELECT e.graph, e.entry_index, e.title, min_by(p.file, t.rank) AS page_file
-                 FROM entries e JOIN tries t ON t.graph = e.graph AND t.entry_index = e.entry_index AND t.title = e.title
-                 LEFT JOIN pages p ON p.graph = t.graph AND p.file = t.name GROUP BY ALL)"""
-_PROP = r"nullif(trim(regexp_extract(content, '(?m)^{0}::\s*(.+)$', 1), E' \t\r'), '')"
-_LINKS = rf"list_distinct(list_filter(list_transform(regexp_extract_all(content, {_LINK}, 1), lambda t: {_DECODE.format("trim(t, E' \\t\\r\\n')")}), lambda t: length(t) BETWEEN 1 AND 199))"
-_TAGS = rf"""CASE WHEN len(regexp_extract_all(coalesce({_PROP.format("tags")}, ''), {_LINK}, 1)) > 0
-             THEN regexp_extract_all({_PROP.format("tags")}, {_LINK}, 1)
-             ELSE list_filter(list_transform(string_split(coalesce({_PROP.format("tags")}, ''), ','), lambda t: trim(t)), lambda t: t <> '') END"""
-_META = f"meta AS (SELECT graph, title, {_PROP.format('category')} AS category, {_PROP.format('type')} AS type, {_PROP.format('project')} AS project, {_TAGS} AS tags, {_LINKS} AS links FROM pages)"
-_NEAR = """near AS (SELECT DISTINCT edge.graph, edge.dst AS title FROM edge JOIN entries e ON e.graph = edge.graph AND e.title = edge.src
-             JOIN pages p ON p.graph = edge.graph AND p.title = edge.dst
-             WHERE NOT EXISTS (SELECT 1 FROM entries x WHERE x.graph = edge.graph AND x.title = edge.dst))"""
-_BAND = r"_\((?:well-supported|supported|grounded|(?i:unverified)\b[^)]*)\)_"
+_AUDITED = f"WITH RECURSIVE {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}, {D.META}, {D.NEAR}, {_CIRCLES}, found AS ({_AUDIT})"
+
+
+def _hop(n: int) -> str:
+    """CTEs of one hop of the selection: t<n> from t<n - 1>."""
+    before = f"t{n - 1}"
+    return f"""
+    n{n} AS (SELECT e.graph, e.dst AS title, sum(e.weight * t.times) AS raw, min([t.hop, t.place, e.seq]) AS seen FROM edge e JOIN {before} t ON t.graph = e.graph AND t.title = e.src GROUP BY ALL),
+    c{n} AS (SELECT n.*, CASE WHEN coalesce(degree, 0) > 12 THEN raw * 0.15::DOUBLE ELSE raw::DOUBLE END AS score FROM n{n} n JOIN pages p ON p.graph = n.graph AND p.title = n.title
+             LEFT JOIN degree d ON d.graph = n.graph AND d.title = n.title WHERE NOT EXISTS (SELECT 1 FROM {before} t WHERE t.graph = n.graph AND t.title = n.title)),
+    k{n} AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY score DESC, seen) AS place FROM c{n} WHERE score >= 1),
+    t{n} AS (SELECT * FROM {before} UNION ALL SELECT k.graph, k.title, {n} AS hop, score, 1 AS times, place FROM k{n} k JOIN (SELECT graph, count(*) AS size FROM {before} GROUP BY ALL) s ON s.graph = k.graph WHERE place + size <= 25)"""
+
+
+_SELECTED = f"""
+    degree AS (SELECT graph, src AS title, count(*) AS degree FROM edge GROUP BY ALL),
+    t0 AS (SELECT e.graph, e.title, 0 AS hop, 'infinity'::DOUBLE AS score, count(*) AS times, min(entry_index) AS place
+           FROM entries e JOIN (SELECT DISTINCT graph, title FROM pages) p ON p.graph = e.graph AND p.title = e.title WHERE tier = 'seed' GROUP BY ALL),{_hop(1)},{_hop(2)},
+    chosen AS (SELECT graph, title, hop, score FROM t2)"""
+_EDGE_OF = """
+    rim AS (SELECT e.graph, e.dst AS title, e.src FROM edge e JOIN chosen c ON c.graph = e.graph AND c.title = e.src WHERE NOT EXISTS (SELECT 1 FROM chosen o WHERE o.graph = e.graph AND o.title = e.dst)),
+    boundary AS (SELECT graph, title, count(*) AS refs, string_agg(src, '|' ORDER BY src) AS referenced_by FROM rim GROUP BY ALL)"""
 
 SQL = {
-    "r_metadata": f"WITH {_PAGES}, {_META} SELECT graph, title, category, type, project, array_to_string(tags, '|') AS tags, len(links)::INT AS links FROM meta",
-    "r_outlinks": f"WITH {_PAGES}, {_EDGES} SELECT * FROM edge",
-    "r_linked": f"WITH {_PAGES}, {_EDGES} SELECT graph, dst AS title, count(*) AS sources, sum(weight)::BIGINT AS weight FROM edge GROUP BY ALL",
-    "r_hubs": f"WITH {_PAGES}, {_EDGES} SELECT graph, src AS title, count(*) AS degree FROM edge GROUP BY ALL HAVING count(*) > 12",
-    "r_resolved": f"WITH {_PAGES}, {_ENTRIES}, {_RESOLVED} SELECT * FROM resolved",
-    "r_missing_sources": f"WITH {_PAGES}, {_ENTRIES}, {_RESOLVED} SELECT graph, entry_index, title FROM resolved WHERE page_file IS NULL",
-    "r_assets": rf"""WITH {_BODIES}, a AS (SELECT DISTINCT body_id, string_split(r, '/')[-1] AS asset FROM (
+    "r_metadata": f"WITH {D.PAGES}, {D.META} SELECT graph, title, category, type, project, array_to_string(tags, '|') AS tags, len(links)::INT AS links FROM meta",
+    "r_outlinks": f"WITH {D.PAGES}, {D.EDGES} SELECT graph, src, dst, weight FROM edge",
+    "r_linked": f"WITH {D.PAGES}, {D.EDGES} SELECT graph, dst AS title, count(*) AS sources, sum(weight)::BIGINT AS weight FROM edge GROUP BY ALL",
+    "r_resolved": f"WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED} SELECT * FROM resolved",
+    "r_missing_sources": f"WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED} SELECT graph, entry_index, title FROM resolved WHERE page_file IS NULL",
+    "r_assets": rf"""WITH {D.BODIES}, a AS (SELECT DISTINCT body_id, string_split(r, '/')[-1] AS asset FROM (
             SELECT body_id, unnest(regexp_extract_all(content, '!\[[^\]]*\]\(([^)\s]+)\)', 1)) AS r FROM bodies)
             WHERE regexp_matches(r, '^(?:(?:\.\.|\.)/)*assets/.+'))
         SELECT asset, count(*) AS bodies FROM a WHERE asset <> '' GROUP BY ALL""",
-    "r_findings": rf"""WITH {_BODIES}, l AS (
-            SELECT body_id, unnest(regexp_split_to_array(content, '\r?\n')) AS x, generate_subscripts(regexp_split_to_array(content, '\r?\n'), 1) AS i FROM bodies)
-        SELECT body_id, (i - 1)::INT AS line, regexp_matches(x, '\[\^[^\]]+\](?:[^:]|$)') AS cited FROM l WHERE regexp_matches(x, '{_BAND}')""",
-    "r_page_recall": rf"""WITH {_BODIES}, l AS (SELECT body_id, unnest(regexp_split_to_array(content, '\r?\n')) AS x FROM bodies),
-            f AS (SELECT body_id, regexp_matches(x, '\[\^[^\]]+\](?:[^:]|$)') AS cited FROM l WHERE regexp_matches(x, '{_BAND}')),
-            s AS (SELECT body_id, count(*) AS total, count(*) FILTER (cited) AS cited FROM f GROUP BY ALL)
-        SELECT body_id, coalesce(cited, 0)::BIGINT AS cited, coalesce(total, 0)::BIGINT AS total, cited / total AS recall FROM bodies LEFT JOIN s USING (body_id)""",
-    "r_neighbours": f"WITH {_PAGES}, {_ENTRIES}, {_EDGES}, {_NEAR} SELECT graph, title, 1 AS hop FROM near",
-    "r_broken_filters": f"""WITH {_ENTRIES}, r AS (SELECT graph, title, pos, coalesce(prepend, append) AS ref FROM filt),
-            t AS (SELECT graph, title, max_by(coalesce(exclude, false), entry_index) AS out FROM entries GROUP BY ALL)
-        SELECT r.graph, 'filter-reference-broken:' || r.title || '#' || pos || ':' || ref AS id, CASE WHEN t.out IS NULL THEN 'absent' ELSE 'excluded' END AS detail
-        FROM r LEFT JOIN t ON t.graph = r.graph AND t.title = r.ref WHERE ref IS NOT NULL AND ref <> r.title AND coalesce(t.out, true)""",
-    "r_self_filters": f"WITH {_ENTRIES} SELECT graph, 'filter-self-reference:' || title || '#' || pos AS id FROM filt WHERE coalesce(prepend, append) = title",
-    "r_redact_conflicts": f"""WITH {_ENTRIES} SELECT graph, entry_index, title FROM entries
+    "r_self_filters": f"WITH {D.ENTRIES} SELECT graph, 'filter-self-reference:' || title || '#' || pos AS id FROM filt WHERE coalesce(prepend, append) = title",
+    "r_redact_conflicts": f"""WITH {D.ENTRIES} SELECT graph, entry_index, title FROM entries
         WHERE redact IS NOT NULL AND len(list_filter(filters, lambda f: f.redact IS NOT NULL)) > 0""",
-    "r_unknown_modes": f"""WITH {_ENTRIES} SELECT graph, 'filter-redact-mode-unknown:' || title || '#' || pos || ':' || mode AS id
+    "r_unknown_modes": f"""WITH {D.ENTRIES} SELECT graph, 'filter-redact-mode-unknown:' || title || '#' || pos || ':' || mode AS id
         FROM filt WHERE mode NOT IN ('none', 'names', 'light')""",
-    "r_duplicates": f"""WITH {_ENTRIES} SELECT graph, title, string_agg(entry_index::VARCHAR, ',' ORDER BY entry_index) AS entries
+    "r_duplicates": f"""WITH {D.ENTRIES} SELECT graph, title, string_agg(entry_index::VARCHAR, ',' ORDER BY entry_index) AS entries
         FROM entries GROUP BY graph, title HAVING count(*) > 1""",
-    "r_sections": f"""WITH {_PAGES}, {_ENTRIES}, {_META} SELECT m.graph, coalesce(category, '(uncategorized)') AS section, tag, count(*) AS n
+    "r_sections": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.META} SELECT m.graph, coalesce(category, '(uncategorized)') AS section, tag, count(*) AS n
         FROM (SELECT m.*, unnest(tags) AS tag FROM entries e JOIN meta m ON m.graph = e.graph AND m.title = e.title) m GROUP BY ALL""",
-    "r_placement": f"""WITH {_PAGES}, {_ENTRIES}, {_META}, {_EDGES}, {_NEAR},
+    "r_placement": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.META}, {D.EDGES}, {D.NEAR},
             k AS (SELECT m.* FROM meta m JOIN near n ON n.graph = m.graph AND n.title = m.title),
             mem AS (SELECT DISTINCT e.graph, e.title, coalesce(m.category, '(uncategorized)') AS section FROM entries e LEFT JOIN meta m ON m.graph = e.graph AND m.title = e.title),
             stag AS (SELECT DISTINCT m.graph, coalesce(m.category, '(uncategorized)') AS section, unnest(m.tags) AS tag FROM entries e JOIN meta m ON m.graph = e.graph AND m.title = e.title),
@@ -333,14 +330,39 @@ SQL = {
                   FROM ev GROUP BY ALL)
         SELECT graph, title, section, (row_number() OVER (PARTITION BY graph, title ORDER BY score DESC, lower(section), section DESC))::INT AS rank, score, category_match, outbound, inbound, shared_tags
         FROM (SELECT *, category_match * 20 + outbound * 5 + inbound * 3 + shared_tags AS score FROM s) QUALIFY rank <= 3""",
-    "r_backlinks": f"""WITH {_ENTRIES}, x AS (SELECT DISTINCT graph, title FROM entries WHERE exclude),
+    "r_backlinks": f"""WITH {D.ENTRIES}, x AS (SELECT DISTINCT graph, title FROM entries WHERE exclude),
             b AS (SELECT DISTINCT graph, entry_index, unnest(backlinks) AS link FROM entries)
         SELECT b.graph, entry_index, link FROM b JOIN x ON x.graph = b.graph AND x.title = b.link""",
-    "r_run_counts": f"""WITH {_PAGES}, {_ENTRIES}, {_RESOLVED}
+    "r_run_counts": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}
         SELECT r.graph, count(*) FILTER (NOT coalesce(exclude, false) AND page_file IS NOT NULL) AS included, count(*) FILTER (coalesce(exclude, false)) AS excluded,
                count(*) FILTER (NOT coalesce(exclude, false) AND page_file IS NULL) AS missing
         FROM resolved r JOIN entries e ON e.graph = r.graph AND e.entry_index = r.entry_index AND e.title = r.title GROUP BY ALL""",
-    "r_hashes": rf"""WITH {_BODIES} SELECT body_id, substr(sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-            regexp_replace(content, '\r\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '(?m)^[ \r]+|[ \r]+$', '', 'g'), '\n+', chr(10), 'g'), '^\n+|\n+$', '', 'g')), 1, 16) AS content_hash
-        FROM bodies""",
+    "r_hubs": f"WITH {D.PAGES}, {D.EDGES} SELECT graph, src AS title, count(*) AS degree FROM edge GROUP BY ALL HAVING count(*) > 4",
+    "r_neighbours": f"WITH {D.PAGES}, {D.ENTRIES}, {D.META}, {D.NEAR} SELECT graph, title, 1 AS hop FROM near",
+    "r_broken_filters": f"{_AUDITED} SELECT graph, id, detail FROM found WHERE kind = 'filter-reference-broken'",
+    "r_cycles": f"{_AUDITED} SELECT graph, id, title FROM found WHERE kind = 'filter-cycle'",
+    "r_audit": f"{_AUDITED} SELECT * FROM found",
+    "r_severities": f"""{_AUDITED} SELECT graph, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warn') AS warn, count(*) FILTER (severity = 'info') AS info
+        FROM found GROUP BY ALL""",
+    "r_stale": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}, seen AS (
+            SELECT r.graph, r.title, r.entry_index, p.content || chr(10) || '- checked' || chr(10) || '  verified:: [[' || strftime(p.c, '%Y-%m-%d') || ']]' AS content
+            FROM resolved r JOIN entries e USING (graph, entry_index, title) JOIN pages p ON p.graph = r.graph AND p.file = r.page_file WHERE NOT coalesce(exclude, false)), {_STALE}
+        SELECT graph, 'block-stale-verified:' || title || '::' || strftime(day, '%Y-%m-%d') || '::' || i AS id, detail FROM stale""",
+    "r_subgraph": f"WITH {D.PAGES}, {D.ENTRIES}, {D.EDGES}, {_SELECTED} SELECT * FROM chosen",
+    "r_boundary": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.EDGES}, {_SELECTED}, {_EDGE_OF}
+        SELECT b.graph, b.title, p.title IS NOT NULL AS exists, refs::INT AS refs, referenced_by FROM boundary b LEFT JOIN pages p ON p.graph = b.graph AND p.title = b.title""",
+    "r_properties": rf"""WITH {D.PAGES},
+            block AS (SELECT graph, title, string_split(regexp_extract(content, '\A(?:{D.LINE_BLANK}*\n)*((?:[A-Za-z0-9_-]+::[^\n\r\x{{2028}}\x{{2029}}]+(?:\n|\z))*)', 1), chr(10)) AS xs FROM pages),
+            row AS (SELECT graph, title, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM block)
+        SELECT graph, title, regexp_extract(x, '^([^:]+)::', 1) AS key, max_by({D.strip("regexp_extract(x, '^[^:]+::(.*)$', 1)")}, i) AS value FROM row WHERE x <> '' GROUP BY ALL""",
+    "r_slugs": f"WITH {D.PAGES} SELECT DISTINCT title, {D.route_slug('title')} AS slug, {D.vault_title('title')} AS vault_title FROM pages",
+    "r_contents": f"""WITH {D.ENTRIES},
+            grp AS (SELECT graph, tier, min(entry_index) AS ord, string_agg('- [[' || {D.vault_title('title')} || ']]', chr(10) ORDER BY entry_index, title) AS rows FROM entries GROUP BY ALL)
+        SELECT graph, '---' || chr(10) || 'title: "Contents"' || chr(10) || 'type: "moc"' || chr(10) || 'projected_from: "page graph"' || chr(10) || '---' || chr(10) || chr(10) || '# Contents' || chr(10) || chr(10)
+               || string_agg(CASE WHEN tier <> 'default' THEN '## ' || tier || chr(10) ELSE '' END || rows || chr(10), chr(10) ORDER BY ord) AS text FROM grp GROUP BY ALL""",
+    "r_dependencies": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}, shown AS (SELECT * FROM entries WHERE NOT coalesce(exclude, false)),
+            spliced AS (SELECT f.graph, f.entry_index, coalesce(prepend, append) AS title FROM filt f JOIN shown s ON s.graph = f.graph AND s.entry_index = f.entry_index AND s.title = f.title WHERE coalesce(prepend, append) <> ''),
+            {D.found_files("more", "spliced")}
+        SELECT r.graph, r.entry_index, page_file AS path FROM resolved r JOIN shown s USING (graph, entry_index, title) WHERE page_file IS NOT NULL
+        UNION SELECT s.graph, s.entry_index, m.file FROM spliced s JOIN more m ON m.graph = s.graph AND m.title = s.title""",
 }

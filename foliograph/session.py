@@ -15,6 +15,7 @@ def build_session(master: str = "local[*]", app: str = "foliograph", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
@@ -27,14 +28,16 @@ def build_session(master: str = "local[*]", app: str = "foliograph", **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder checkpoints go to.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and nothing else was set on
-    the context (tests, a laptop) a temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary folder.
+    A folder of one machine would be lost to all others, so a cluster without the setting is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return current
+    if not named and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder all machines share")
     target = named or os.path.join(tempfile.gettempdir(), "foliograph-checkpoints")
     context.setCheckpointDir(target)
     return target

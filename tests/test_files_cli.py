@@ -78,6 +78,14 @@ def test_project_and_reconcile(spark, graph, capsys):
     assert cli.main(run) == 0 and "text" in page.read_text() and cli.main([*run, "--check"]) == 0
     page.write_text(page.read_text().replace("text", "edited"))
     assert cli.main([*run, "--check"]) == 1
+    batch = ["reconcile", "--all", "--manifest", document(graph / "all.json", {"graphPath": g, "entries": [{"title": "A/B", "tier": "seed"}, {"title": "Lost", "tier": "seed"}]})]
+    assert cli.main(batch) == 2
+    assert cli.main([*batch, "--out-dir", str(graph / "all"), "--plan"]) == 1 and os.listdir(graph / "all") == []
+    assert cli.main([*batch, "--out-dir", str(graph / "all")]) == 1 and sorted(os.listdir(graph / "all")) == ["ab.md", "ab.md.reconcile.json"]
+    source = graph / "Src.md"
+    source.write_text("citation-recall:: 0.2\n\n- ## One\n  - text")
+    single = ["reconcile", "--source", str(source), "--page", str(graph / "one.md")]
+    assert cli.main([*single, "--faithfulness-min", "0.5"]) == 3 and cli.main(single) == 0 and "Src#one" in (graph / "one.md").read_text()
 
 
 def test_sinks(spark, graph):

@@ -120,7 +120,7 @@ def test_drift_kinds(spark):
         ("Hidden", {"exclude": True}),
         ("R", {"redact": "light", "filters": [(None, None, "odd")]}),
     )
-    near = subgraph.neighbours(P.outlinks(pages), pages, entries, 1)
+    near = subgraph.neighbours(pages, entries, 1)
     found = drift.audit(entries, pages, near, datetime(2026, 5, 1, tzinfo=timezone.utc), known_modes=["none"])
     ids = {r["id"] for r in found.collect()}
     assert {"source-missing:Lost", "filter-self-reference:P#3", "filter-reference-broken:P#1:Nobody", "filter-reference-broken:P#2:Hidden"} <= ids

@@ -129,9 +129,13 @@ def test_apply_is_idempotent_and_keeps_free_regions():
 
 def test_apply_puts_regions_in_source_order():
     want = reconcile.stamp(SOURCE, "Page")
-    a, b = (s["text"] for s in reconcile.sections(want))
-    done = reconcile.apply(want, f"{b}\n# Mine\nx\n{a}")
-    assert done["reordered"] and [s["id"] for s in reconcile.sections(done["content"])] == ["definition", "mine", "levels"]
+    a, b = (r.text for r in reconcile.projected_regions(want))
+    swapped = f"{b}\n# Mine\nx\n{a}"
+    done = reconcile.apply(want, swapped)
+    assert done["reordered"] == ["definition", "levels"] and [r.id for r in reconcile.regions(done["content"])] == ["definition", "mine", "levels"]
+    moved = reconcile.reorder(swapped, want)
+    assert moved["moved"] == ["definition", "levels"] and moved["content"] == done["content"]
+    assert reconcile.reorder(want, want) == {"content": want, "moved": []}
 
 
 def test_pages_and_bridge(spark):
@@ -148,3 +152,66 @@ def test_pages_and_bridge(spark):
     assert got == {"definition": "stale", "levels": "hash-mismatch", "gone": "orphan"}
     text = spark.createDataFrame([('{"version":"region-bridge/v1","page":"q","entries":{"a":{"source":"s","contentHash":"h"}}}',), ('{"a":"h"}',), (None,)], "v string")
     assert [r[0] for r in text.select(reconcile.read_bridge(F.col("v"))).collect()] == [{"a": "h"}, {"a": "h"}, {}]
+
+
+FORMS = (
+    '<SectionHeading level="2" id="x" text="X" projected source="S#x" />\nold x\n<!-- region: note -->\n<!-- projected: source="S#note" -->\nold note\n<!-- /region -->\n# Own\nfree\n'
+    '<Region name="box">\n<!-- projected: source="S#box" -->\nold box\n</Region>\nend'
+)
+
+
+def test_all_forms_of_regions_are_reconciled(spark):
+    page = FORMS.replace("<!-- region", "# Gap\n<!-- region")
+    assert reconcile.bridge_of(page).keys() == {"x", "note", "box"}
+    done = reconcile.apply(page.replace("old", "new"), page, reconcile.bridge_of(page))
+    assert done["regenerated"] == ["x", "note", "box"] and done["content"] == page.replace("old", "new")
+    # The frame of regions and the reconciler give one answer.
+    rows = R.page_regions(frame(spark, page), ["page"]).filter("source is not null").collect()
+    assert {r["id"]: r["content_hash"] for r in rows} == reconcile.bridge_of(page)
+    assert [(r.id, r.start, r.end) for r in reconcile.regions(page)] == [
+        (r["id"], r["span_start"], r["span_end"] + 1) for r in R.page_regions(frame(spark, page), ["page"]).orderBy("span_start").collect()
+    ]
+    assert reconcile.stamp('<SectionHeading id="y" />\nb', "T").split("\n")[1] == '<!-- projected: source="T#y" -->'
+    assert reconcile.stamp(page, "T").count("projected") == page.count("projected") + 2
+
+
+def test_whole_manifests(spark):
+    pages = spark.createDataFrame(
+        [
+            ("g", "Mill Race", "Mill Race.md", "title:: Mill Race\n\n- ## Definition\n  - See [[Weir]].\n- ## Levels\n  - Two."),
+            ("g", "Weir", "Weir.md", "citation-recall:: 0.4\n\n- ## A\n  - text _(supported)_ [^k]"),
+            ("g", "Hidden", "Hidden.md", "- ## Secret"),
+        ],
+        "graph string, title string, file string, content string",
+    )
+    entries = spark.createDataFrame(
+        [("g", 0, "Mill Race", None, None), ("g", 1, "Hidden", None, True), ("g", 2, "Weir", None, False), ("g", 3, "Lost", None, None)],
+        "graph string, entry_index int, title string, file string, exclude boolean",
+    )
+    first = {r["slug"]: r for r in reconcile.reconcile_manifest(entries, pages).collect()}
+    assert set(first) == {"mill-race", "weir", "lost"} and first["lost"]["error"] and first["lost"]["content"] is None
+    mill = first["mill-race"]
+    assert mill["first_run"] and mill["created"] == ["definition", "levels"] and '<!-- projected: source="Mill Race#definition" -->' in mill["content"]
+    assert "[Weir](/kb/weir/)" in mill["content"] and "title::" not in mill["content"] and first["weir"]["grounded"] and not mill["grounded"]
+    targets = spark.createDataFrame([("g", "mill-race", mill["content"].replace("Two.", "Three."), mill["bridge"])], "graph string, slug string, content string, prior map<string,string>")
+    again = reconcile.reconcile_manifest(entries, pages, targets, least=0.5)
+    rows = {r["slug"]: r for r in again.collect()}
+    assert rows["mill-race"]["regenerated"] == rows["mill-race"]["hand_edited"] == ["levels"] and rows["mill-race"]["content"] == mill["content"]
+    assert rows["weir"]["gate"] == "recall 0.4 is below 0.5" and rows["weir"]["content"] is None
+    assert tuple(reconcile.batch_summary(again).first())[1:] == (3, 1, 1, 1, 0)
+    assert reconcile.recall_of_targets(reconcile.reconcile_manifest(entries, pages)).first()["line"] == "recall 1/1=1.00 · a 1/1=1.00"
+    assert {r["slug"] for r in reconcile.slug_map(entries).collect()} == {"mill-race", "weir", "lost"}
+    assert reconcile.reconcile_manifest(entries.limit(0), pages).count() == 0
+
+
+def test_ids_in_use_are_skipped(spark):
+    text = f"- Foo\n  - a {BAND} [^a]\n- Foo\n  - b {BAND}\n- Foo 2\n  - c {BAND}\n- Foo-2\n  - d {BAND} [^d]"
+    got = scores(spark, text, subdivide_root=True)
+    assert got == {":root": (0, 0), "src:foo": (1, 1), "src:foo-2": (0, 1), "src:foo-2-2": (0, 1), "src:foo-2-3": (1, 1)}
+    order = recall.region_recall(frame(spark, f"## B\n- x {BAND}\n# A\n" + text), ["page"], subdivide_root=True).orderBy("place").collect()
+    assert [r["region"] for r in order][0] == ":root"
+
+
+def test_shown_orders(spark):
+    rows = spark.createDataFrame([(s,) for s in ("synced", "orphan", "stale", "hash-mismatch")], "state string")
+    assert [r["state"] for r in rows.orderBy(reconcile.shown_order("state", reconcile.STATES)).collect()] == list(reconcile.STATES)

@@ -20,9 +20,9 @@ def one(spark, value, make):
         (T.route_slug, "Hello §World_x", "hello-sectionworld_x"),
         (T.route_slug, "Café ™ Zed", "cafe-TM-zed"),
         (T.route_slug, "", ""),
-        (T.vault_title, "Hands / head / authority — where an AI coach runs", "Hands, head, authority — where an AI coach runs"),
-        (T.vault_title, "TCP/IP", "TCP-IP"),
-        (T.vault_title, "Wanix + ser: why they sign", "Wanix + ser - why they sign"),
+        (T.vault_title, "Weir / mill / sluice — how the water turns", "Weir, mill, sluice — how the water turns"),
+        (T.vault_title, "Or/And", "Or-And"),
+        (T.vault_title, "Quern + millrace: what they grind", "Quern + millrace - what they grind"),
         (T.tags, "tags:: alpha, beta, gamma", ["alpha", "beta", "gamma"]),
         (T.tags, "tags:: [[a b]], [[c]]", ["a b", "c"]),
         (T.tags, "no tags", []),
