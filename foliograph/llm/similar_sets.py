@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, count
 from math import comb
 
 import numpy as np
@@ -61,28 +61,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def set_classes(records: DataFrame, key: str, values: str, least: int) -> DataFrame:
-    """(``class``, ``record``, ``items``): each record with at least ``least`` distinct values, its set sorted.
+def set_classes(records: DataFrame, key: str, values: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(``class``, ``record``) of each record with at least ``least`` distinct values, and (``class``, ``tokens``) of each class.
 
-    ``class`` is the smallest record with the same set.
+    A class is the smallest record with the same set. Values are read once: what travels on is a fingerprint of 128
+    bits that tells sets apart, and the values' hashes of 64 bits, sorted, which tell the values of two sets apart.
     """
+    items = F.array_sort(F.array_distinct(F.filter(values, present)))
     sets = (
-        records.select(F.col(key).cast("long").alias("record"), F.array_sort(F.array_distinct(F.filter(values, present))).alias("items"))
+        records.select(F.col(key).cast("long").alias("record"), items.alias("items"))
         .filter(F.col("record").isNotNull() & (F.size("items") >= least))
-        .distinct()
+        .select("record", F.unhex(F.md5(F.to_json("items"))).alias("print"), F.array_sort(F.transform("items", lambda v: F.xxhash64(v))).alias("tokens"))
     )
-    first = sets.groupBy("items").agg(F.min("record").alias("class"))
-    return sets.join(first, "items").select("class", "record", "items")
+    sets = cut_lineage(sets.dropDuplicates(["record", "print"]))
+    first = sets.groupBy("print").agg(F.min("record").alias("class"))
+    member = cut_lineage(sets.select("record", "print").join(first, "print").select("class", "record"))
+    heads = first.select(F.col("class").alias("record"), "print")
+    return member, cut_lineage(sets.join(heads, ["record", "print"], "left_semi").select(F.col("record").alias("class"), "tokens"))
 
 
 #: What a set is to its partner in a subset's key: the smaller, the larger, or of the same size.
 _SMALLER, _LARGER, _EQUAL = 0, 1, 2
 
 
-def _subset_keys(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
+def _subset_keys(sets: DataFrame, share: Fraction, least: int, large_from: int) -> DataFrame:
     """(``key``, ``entry``) of every subset of every small set.
 
-    A key stands for a subset and the two sizes it is enough for; ``entry`` is the class times 4 plus the role
+    Only partners that spell out theirs too are met. A key stands for a subset and the two sizes it is enough for; ``entry`` is the class times 4 plus the role
     of the set, so that a row is two numbers.
     """
 
@@ -98,7 +103,7 @@ def _subset_keys(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
                 tokens = _mix(flat[ends[rows][:, None] + np.arange(size)])
                 for partner in partner_sizes(size, share, least):
                     chosen = needed_overlap(size, partner, share)
-                    if chosen > size:
+                    if chosen > size or partner >= large_from:
                         continue
                     role = _EQUAL if size == partner else _SMALLER if size < partner else _LARGER
                     choices = _choices(size, chosen)
@@ -111,17 +116,16 @@ def _subset_keys(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
                         entries = np.repeat(ids[rows[at : at + step]] * 4 + role, len(choices))
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(entries)], names=["key", "entry"])
 
-    hashed = sets.select("class", F.transform("items", lambda v: F.xxhash64(v)).alias("tokens"))
-    return hashed.mapInArrow(run, "key bigint, entry bigint")
+    return sets.select("class", "tokens").mapInArrow(run, "key bigint, entry bigint")
 
 
-def _small_pairs(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
+def _small_pairs(sets: DataFrame, share: Fraction, least: int, large_from: int) -> DataFrame:
     """Classes of small sets that meet in a subset.
 
     Both sides of the join are the same rows, shuffled once: the condition is written so that no part of it can
     be moved to one side.
     """
-    keys = _subset_keys(sets, share, least)
+    keys = _subset_keys(sets, share, least, large_from)
     a = keys.select("key", F.col("entry").alias("x"))
     b = keys.select("key", F.col("entry").alias("y"))
     roles = F.pmod("x", F.lit(4)) * 3 + F.pmod("y", F.lit(4))
@@ -130,50 +134,57 @@ def _small_pairs(sets: DataFrame, share: Fraction, least: int) -> DataFrame:
     return pairs.select(F.shiftright("x", 2).alias("a"), F.shiftright("y", 2).alias("b")).distinct()
 
 
-def _large_pairs(sets: DataFrame, large: DataFrame, share: Fraction, least: int) -> DataFrame:
-    """Pairs with at least one large set that share one of their rarest values.
+def _large_pairs(sets: DataFrame, large_from: int, share: Fraction, least: int) -> DataFrame:
+    """Pairs with at least one set of ``large_from`` values or more that share one of their rarest values.
 
-    Values are hashes here. Two values with one hash only make a list longer: what two sets share stays shared.
+    Sets too small for any large partner take no part. Two values with one hash only make a list longer: what two
+    sets share stays shared.
     """
-    hashes = F.transform("items", lambda v: F.xxhash64(v))
-    tokens = sets.select("class", F.size("items").alias("size"), F.explode(hashes).alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    smallest = partner_sizes(large_from, share, least).start
+    near = sets.filter(F.size("tokens") >= smallest)
+    tokens = near.select("class", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("n"), F.max((F.col("size") >= large_from).cast("int")).alias("in_large"))
+    # A value that one set alone has, or no large set has, can't be what a pair is found by, yet counts in the order of its set.
     ranked = (
         tokens.join(frequency, "token")
         .groupBy("class", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by_rarity"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "token", "in_large"))).alias("by_rarity"))
     )
     # Two sets that overlap enough share one of their first size - least overlap + 1 values in any fixed order.
     kept = F.ceil(F.col("size") * F.lit(share.numerator) / F.lit(share.denominator) - F.lit(1e-9))
     prefix = F.slice("by_rarity", 1, (F.col("size") - kept + 1).cast("int"))
-    lists = ranked.select("class", "size", F.explode(prefix).alias("x")).select("class", "size", F.col("x.token").alias("token"))
-    of_large = lists.join(large.select("class"), "class", "left_semi").select(
-        F.col("class").alias("l"), F.col("size").alias("size_l"), "token"
-    )
-    met = of_large.join(lists, "token").filter(F.col("l") != F.col("class"))
+    shared = F.filter(prefix, lambda x: (x["n"] > 1) & (x["in_large"] == 1))
+    lists = ranked.select("class", "size", F.explode(shared).alias("x")).select("class", "size", F.col("x.token").alias("token"))
+    of_large = lists.filter(F.col("size") >= large_from).select(F.col("class").alias("l"), F.col("size").alias("size_l"), "token")
+    # A pair of two large sets is met from both; once is enough.
+    once = (F.col("size") < large_from) | (F.col("l") < F.col("class"))
+    met = of_large.join(lists, "token").filter((F.col("l") != F.col("class")) & once)
     sizes = F.least("size", "size_l") * F.lit(share.denominator) >= F.greatest("size", "size_l") * F.lit(share.numerator)
     return met.filter(sizes).select(F.least("l", "class").alias("a"), F.greatest("l", "class").alias("b")).distinct()
 
 
-def similar_classes(classes: DataFrame, share: float | str, least: int, max_subsets: int = 64) -> DataFrame:
+def large_size(share: Fraction, least: int, max_subsets: int) -> int:
+    """The size from which on sets are looked up in lists: the first with more than ``max_subsets`` subsets."""
+    return next(size for size in count(least) if not is_small(size, share, least, max_subsets))
+
+
+def similar_classes(sets: DataFrame, share: float | str, least: int, max_subsets: int = 64) -> DataFrame:
     """(``a``, ``b``, ``share``): pairs of different sets (as classes) with at least ``share`` in common.
 
-    Sets with up to ``max_subsets`` subsets count as small. No pair is lost whatever their sizes, and there is
-    no cap on the records that have a value: hot values are split by the adaptive skew join.
+    ``sets``: (class, tokens). Sets below the first size that has more than ``max_subsets`` subsets count as small.
+    No pair is lost whatever their sizes, and there is no cap on the records that have a value: hot values are split
+    by the adaptive skew join.
     """
     wanted = Fraction(str(share))
-    sets = classes.filter(F.col("class") == F.col("record")).select("class", "items")
-    largest = max(s for s in range(least, 400) if is_small(s, wanted, least, max_subsets) or s == least)
-    # The number of subsets doesn't grow evenly with the size, so small sizes are listed, not bounded.
-    small_sizes = [s for s in range(least, largest + 1) if is_small(s, wanted, least, max_subsets)]
-    small = sets.filter(F.size("items").isin(small_sizes))
-    large = sets.filter(~F.size("items").isin(small_sizes))
-    pairs = _small_pairs(small, wanted, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = pairs.unionByName(_large_pairs(sets, large, wanted, least))
-    left = sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    every = F.size("items_a") + F.size("items_b") - common
+    if wanted >= 1:  # sets with all values in common are one class
+        return sets.sparkSession.createDataFrame([], "a bigint, b bigint, share double")
+    large_from = large_size(wanted, least, max_subsets)
+    pairs = _small_pairs(sets.filter(F.size("tokens") < large_from), wanted, least, large_from).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    candidates = pairs.unionByName(_large_pairs(sets, large_from, wanted, least))
+    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("tokens_b"))
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    every = F.size("tokens_a") + F.size("tokens_b") - common
     return (
         candidates.join(left, "a")
         .join(right, "b")
@@ -190,9 +201,8 @@ def similar_records(records: DataFrame, key: str, values: str, share: float | st
     values take part. Nulls and empty strings are no values; order and repetition don't count; null keys and
     lists give nothing; repeated rows count once; an empty table gives an empty result.
     """
-    classes = cut_lineage(set_classes(records, key, values, least))
-    pairs = similar_classes(classes, share, least, max_subsets).select("a", "b")
-    member = classes.select("class", "record")
+    member, sets = set_classes(records, key, values, least)
+    pairs = similar_classes(sets, share, least, max_subsets).select("a", "b")
     a = member.select(F.col("class").alias("a"), F.col("record").alias("id_a"))
     b = member.select(F.col("class").alias("b"), F.col("record").alias("id_b"))
     between = pairs.join(a, "a").join(b, "b").select("id_a", "id_b")
@@ -202,8 +212,8 @@ def similar_records(records: DataFrame, key: str, values: str, share: float | st
 
 def similar_links(records: DataFrame, key: str, values: str, share: float | str, least: int, max_subsets: int = 64) -> DataFrame:
     """(``record``, ``class``, ``links``): each record with its class of equal sets and the number of other records it is similar to."""
-    classes = cut_lineage(set_classes(records, key, values, least))
-    pairs = similar_classes(classes, share, least, max_subsets).select("a", "b")
+    classes, sets = set_classes(records, key, values, least)
+    pairs = similar_classes(sets, share, least, max_subsets).select("a", "b")
     sizes = classes.groupBy("class").agg(F.count("*").alias("members"))
     both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
     reached = (
