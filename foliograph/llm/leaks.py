@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -173,10 +174,7 @@ class _Shard:
         self.offset: list[int] = []
         self.size = 1
 
-    def add(self, doc: object, text: str) -> None:
-        found = words(text)
-        if len(found) < self.phrases.size:
-            return
+    def add(self, doc: object, found: list[str]) -> None:
         get = self.phrases.ids.get
         ids = np.array([get(w, 0) for w in found], dtype=np.int64)
         for a, b in self.phrases.stretches(ids):
@@ -238,6 +236,7 @@ def leaked_spans(
     min_words: int = 12,
     shard_words: int = 1_000_000,
     block_words: int = 500_000,
+    blocks_at_once: int = 8,
 ) -> DataFrame:
     """(``doc_id``, ``item_id``, ``first_word``, ``last_word``): every span of a document that repeats an item.
 
@@ -247,7 +246,9 @@ def leaked_spans(
     spans; an empty table on either side gives an empty result.
 
     No shuffle: a task indexes its own documents, ``shard_words`` words at a time. The items are the stated
-    query set; they are sent to the tasks in blocks of ``block_words`` words, each searched in all documents.
+    query set; they are sent to the tasks in blocks of ``block_words`` words. A scan of the corpus serves
+    ``blocks_at_once`` blocks, which bounds what a task holds: items of up to 4 million words cost one scan, in which
+    each document is split into words once.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -255,15 +256,16 @@ def leaked_spans(
     rows = docs.select(F.col(key), F.col(text)).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def search(blocks: list[list[tuple[int, str]]]) -> DataFrame:
+        shared = [spark.sparkContext.broadcast(block) for block in blocks]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = _Shard(Phrases(shared.value, min_words))
+            shards = [_Shard(Phrases(x.value, min_words)) for x in shared]
 
             def done() -> Iterator[pa.RecordBatch]:
-                spans = shard.spans()
-                shard.clear()
+                spans = [x for shard in shards for x in shard.spans()]
+                for shard in shards:
+                    shard.clear()
                 if spans:
                     doc, item, a, b = zip(*spans)
                     yield pa.RecordBatch.from_arrays(
@@ -273,14 +275,18 @@ def leaked_spans(
 
             for batch in batches:
                 for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    shard.add(doc, body)
-                    if shard.size >= shard_words:
-                        yield from done()
+                    found = words(body)
+                    if len(found) >= min_words:
+                        for shard in shards:
+                            shard.add(doc, found)
+                        if sum(shard.size for shard in shards) >= shard_words:
+                            yield from done()
             yield from done()
 
         return rows.mapInArrow(run, schema)
 
-    parts = [search(block) for block in _item_blocks(items, item_key, item_text, block_words)]
+    blocks = _item_blocks(items, item_key, item_text, block_words)
+    parts = [search(group) for group in iter(lambda: list(islice(blocks, blocks_at_once)), [])]
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]

@@ -175,7 +175,57 @@ _SETS = """
           WHERE o * 10 >= CASE c.field WHEN 'tags' THEN 6 ELSE 7 END * (s.n + u.n - o))
 """
 
+def _form(text: str) -> str:
+    """The form of a string as SQL: single characters by the same table, then composition, instead of a trie over clusters."""
+    singles = {c: to for c, to in lookalikes._singles().items() if c != to}
+    quote = lambda x: x.replace("'", "''")
+    one = {c: to for c, to in singles.items() if len(to) == 1 and ord(c) > 31 and ord(c) != 127}
+    gone = [c for c, to in singles.items() if not to and ord(c) > 31 and not 0xE0000 <= ord(c) < 0xE1000]
+    text = f"nfc_normalize({text})"
+    for c, to in singles.items():
+        if len(to) > 1 and c in "ﬀﬁﬂﬃﬄﬅﬆĲĳǄǅǆǇǈǉǊǋǌǱǲǳ":
+            text = f"replace({text}, '{c}', '{quote(to)}')"
+    return f"nfc_normalize(translate({text}, '{quote(''.join(one))}{quote(''.join(gone))}', '{quote(''.join(one.values()))}'))"
+
+
+def _looks() -> str:
+    return f"""
+    e AS (SELECT entry_id, any_value(graph_path) AS g, any_value(title) AS t FROM publish_entries GROUP BY entry_id),
+    m AS (SELECT page_id, any_value(graph_path) AS g, any_value(wikilinks) AS links FROM page_metadata GROUP BY page_id),
+    s AS (SELECT entry_id AS id, g, t, 'title' AS side FROM e WHERE t <> '' UNION SELECT page_id, g, t, 'link' FROM (SELECT page_id, g, unnest(links) AS t FROM m) WHERE t <> ''),
+    d AS (SELECT DISTINCT t FROM s),
+    f AS (SELECT t, CASE WHEN regexp_full_match(t, '[ -~]*') THEN t ELSE {_form("t")} END AS form FROM d),
+    w AS (SELECT s.*, f.form FROM s JOIN f USING (t) WHERE form <> '')"""
+
+
 SQL: dict[str, str] = {
+    "p3_links": f"""WITH {_SETS},
+        whole AS (SELECT v.field, v.page_id, list(x ORDER BY x) AS xs FROM v JOIN s ON s.field = v.field AND s.page_id = v.page_id WHERE x <> '' GROUP BY ALL),
+        ends AS (SELECT field, a AS page_id FROM p UNION ALL SELECT field, b FROM p),
+        n AS (SELECT field, page_id, count(*) AS links FROM ends GROUP BY ALL)
+        SELECT w.field, w.page_id, min(w.page_id) OVER (PARTITION BY w.field, xs) AS class_id, coalesce(links, 0)::BIGINT AS links
+        FROM whole w LEFT JOIN n ON n.field = w.field AND n.page_id = w.page_id""",
+    "p4_found": f"""WITH {_looks()}
+        SELECT DISTINCT CASE b.side WHEN 'title' THEN 'title_title' ELSE 'link_title' END AS kind, a.id AS id_lo, b.id AS id_hi
+        FROM w a JOIN w b ON a.g = b.g AND a.form = b.form AND a.t <> b.t WHERE a.side = 'title' AND (b.side = 'link' OR a.id < b.id)""",
+    "p4_forms": f"WITH {_looks()} SELECT DISTINCT t AS text, form FROM w WHERE t <> form",
+    "p8_spans": r"""
+        WITH doc AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+        ), item AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+        ), doc_run AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS run FROM doc, unnest(generate_series(1, len(w) - 11)) AS s(i)
+        ), item_run AS (
+            SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS run FROM item, unnest(generate_series(1, len(w) - 11)) AS s(i)
+        ), hit AS (
+            SELECT DISTINCT doc_id, item_id, i FROM doc_run JOIN item_run USING (run)
+        ), isle AS (
+            SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS n
+            FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS fresh FROM hit)
+        )
+        SELECT doc_id, item_id, min(i) - 1 AS first_word, max(i) + 10 AS last_word FROM isle GROUP BY doc_id, item_id, n
+    """,
     "p1_terms": f"WITH {_TERMS} SELECT * FROM k",
     "p1_found": f"WITH {_TERMS} SELECT field, term, mark FROM k WHERE mark IS NOT NULL",
     "p3_found": f"WITH {_SETS} SELECT field, a AS page_id_a, b AS page_id_b FROM p",

@@ -36,7 +36,7 @@ def test_against_brute_force(spark, seed, shard):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     items = spark.createDataFrame(bench, "item_id long, text string")
     for block in (10_000, 40):
-        got = L.leaked_items(docs, items, min_words=8, shard_words=shard, block_words=block).collect()
+        got = L.leaked_items(docs, items, min_words=8, shard_words=shard, block_words=block, blocks_at_once=2).collect()
         assert {tuple(r) for r in got} == brute(texts, bench, 8) and len(got) == len({tuple(r) for r in got})
 
 
