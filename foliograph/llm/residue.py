@@ -41,25 +41,19 @@ PLACEHOLDERS = (
     ("<", r"<(?:INSERT|Insert|insert|YOUR|Your|your|ENTER|Enter|enter)\s[^<>\n]+>"),
 )
 
-#: Sentences that stand in for a text.
-FILLER = (
-    r"(?:your|sample|example|dummy|placeholder) (?:text|paragraph|content|copy)(?: goes)?(?: here)?",
-    r"(?:text|content|copy) goes here",
-    r"this is (?:a |an |just )?(?:sample|example|placeholder|dummy) .*",
-    r"(?:please )?(?:replace|overwrite) this (?:text|paragraph|copy|section|block)\b.*",
-    r"placeholder (?:copy|text|content) for .*",
-    r"swap it for .*",
-    r"(?:content|text|more|description) (?:is )?coming soon",
-    r"write (?:a|an|your) .{1,80} here",
-    r"(?:one|two|a few) .{1,30} sentences? (?:is|are) enough",
-    r"hier (?:steht|folgt|kommt) (?:später |bald )?(?:ihr|dein|der) text\b.*",
-    r"(?:dies|das) ist (?:nur )?ein (?:blindtext|platzhalter|beispieltext)\b.*",
-    r"texte (?:provisoire|factice|d.exemple)\b.*",
-    r"remplacez ce (?:paragraphe|texte)\b.*",
-    r"texto (?:provisional|de relleno|de ejemplo|de muestra)\b.*",
-    r"(?:sustituya|reemplace|reemplaza) este (?:párrafo|texto)\b.*",
-    r"aquí va (?:su|tu|el) texto\b.*",
-    r"lorem ipsum\b.*",
+#: Words that say of a text that it isn't one, and those for what they speak of.
+STAND_INS = frozenset(
+    """placeholder dummy sample lorem ipsum filler replace overwrite swap blindtext platzhalter beispieltext ersetzen provisoire factice
+    remplacez exemple provisional relleno muestra ejemplo sustituya reemplace reemplaza segnaposto esempio sostituire""".split()
+)
+TEXT_WORDS = frozenset(
+    """text texts paragraph content copy description section block introduction sentence sentences words word body heading summary
+    absatz inhalt beschreibung texte paragraphe contenu texto párrafo contenido testo paragrafo contenuto""".split()
+)
+HERE = frozenset("here soon hier bald ici bientôt aquí pronto qui presto".split())
+_ASIDE = frozenset(
+    """own real coming goes write add insert enter enough publish publishing before later example short brief one two three few thema sinn
+    zweck ohne später steht folgt kommt nur propio propia propres propre publicar publier está""".split()
 )
 
 #: Words of the usual pseudo-Latin.
@@ -136,12 +130,8 @@ _any = lambda parts: "|".join(f"(?:{p})" for p in parts)
 _placeholders = [(hint, re.compile(p).search) for hint, p in PLACEHOLDERS]
 _fences = re.compile(r"(?ms)^[ \t>]*(?:[-*+] )?(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*\1[`~]*[ \t]*\r?$|\Z)")
 _spans = re.compile(r"(`+)(?!`)[^\n]*?(?<!`)\1(?!`)")
-_filler = re.compile(rf"(?:{_any(FILLER)})[.!…:;]*", re.I).fullmatch
-#: A text without any of these has no sentence of FILLER.
-_FILLER_HINTS = (
-    "goes here", " here", "sample", "placeholder", "coming soon", "this is ", "replace this", "overwrite this", "swap it for", "enough",
-    "ihr text", "dein text", "der text", "blindtext", "platzhalter", "beispieltext", "texte ", "remplacez", "texto", "lorem ipsum",
-)
+#: A text without any of these has no sentence that stands in.
+_STAND_IN_SIGNS = (*STAND_INS, *HERE)
 _sentences = re.compile(r"(?<=[.!?…;])\s+").split
 _navigation = re.compile(_any(NAVIGATION), re.I).fullmatch
 _menu = re.compile(r" [|·] ").split
@@ -194,15 +184,34 @@ def _is_wordless(line: str) -> bool:
     return len(kinds & LATIN) * 10 >= 6 * len(kinds)
 
 
+def stands_in(sentence: str) -> bool:
+    """Whether a sentence says that it is no text: most of its words speak of texts and one that they stand in or come later."""
+    words = _tokens(sentence.replace("’", "'"))
+    low = [w.lower() for w in words]
+    kinds = set(low)
+    if STAND_INS.isdisjoint(kinds) and (HERE.isdisjoint(kinds) or TEXT_WORDS.isdisjoint(kinds)):
+        return False
+    known = unknown = 0
+    for k, w in enumerate(low):
+        if w in STAND_INS or w in TEXT_WORDS or w in HERE or w in _ASIDE:
+            known += 1
+        elif not (w in PLAIN or k and words[k][0].isupper()):
+            unknown += 1
+    return known >= SURE * (known + unknown)
+
+
 def _stands_in(line: str) -> bool:
+    low = line.lower()
+    if not any(x in low for x in _STAND_IN_SIGNS):
+        return False
     parts = [s for s in _sentences(_lead.sub("", line).strip()) if s]
-    return sum(bool(_filler(s)) for s in parts) * 2 >= len(parts) > 0
+    return sum(map(stands_in, parts)) * 2 >= len(parts) > 0
 
 
 def has_filler(text: str) -> bool:
     """Whether at least one paragraph outside code fences is filler."""
     low = text.lower()
-    test = is_filler if any(h in low for h in _FILLER_HINTS) else _is_wordless
+    test = is_filler if any(h in low for h in _STAND_IN_SIGNS) else _is_wordless
     if not any(map(test, _lines(text))):
         return False
     return "`" not in text and "~~~" not in text or any(map(test, _lines(_fences.sub("\n", text))))

@@ -309,6 +309,22 @@ def test_wordings_not_seen_before():
     assert not page("Error handling in Rust") and not page(SPEAKING[1])
 
 
+STAND_INS = (
+    "Placeholder text.", "Sample content goes here.", "This is dummy copy. Please replace it.", "Add your description here.", "Insert a heading here", "Replace this section with your own words.",
+    "Text coming soon.", "Beispieltext. Bitte ersetzen.", "Texte d'exemple. Remplacez ce texte.", "Texto de ejemplo. Reemplaza este texto.", "Your body text here", "Lorem ipsum dolor sit amet.",
+)
+REAL = (
+    "We replace the rope each spring.", "The sample was taken from the pond.", "He will be here soon.", "The text of the charter is kept in the hall.", "A dummy stood in the window of the tailor.",
+    "The introduction names the keeper and the place of the mill.", "Here the road turns to the weir.", "Swap the old stones before winter comes.", "Ein Beispiel für Wasserräder aus Holz.",
+)
+
+
+def test_stand_ins_not_seen_before():
+    hits, wrong = sum(map(R.has_filler, STAND_INS)), [t for t in REAL if R.has_filler(t)]
+    assert hits >= 0.9 * len(STAND_INS), [t for t in STAND_INS if not R.has_filler(t)]
+    assert not wrong
+
+
 def test_the_same_response_once_or_often(spark):
     line = "Error 503: Service unavailable. Please try again later."
     rows = [(1, line), (2, "\n".join([line] * 9)), (3, "\n".join([line] * 400))]
