@@ -73,8 +73,14 @@ def audit(spark: SparkSession, a: argparse.Namespace) -> int:
     return drift.exit_code(found)
 
 
+class Refused(Exception):
+    """What was given can't be worked with."""
+
+
 def _patched(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     raw = _raw(spark, a.manifest)
+    for row in files.refused_patches(_raw(spark, a.patch)).toLocalIterator():
+        raise Refused(f"{a.patch}: {row['reason']}")
     parsed = manifest.raw_entries(manifest.parse(raw))
     name = F.lit(a.manifest)
     entries = parsed.select(name.alias("manifest"), "entry_index", F.try_variant_get("e", "$.title", "string").alias("title"), F.to_json("e").alias("entry"))
@@ -124,6 +130,8 @@ def place(spark: SparkSession, a: argparse.Namespace) -> int:
     pages, near = _near(spark, graph, entries, 1)
     meta = P.page_metadata(pages)
     wanted = spark.createDataFrame([(graph, t) for t in a.candidate], "graph string, title string") if a.candidate else near
+    if not _issues(spark, raw, graph, True).filter("severity = 'error'").isEmpty():
+        return 1
     rows = placement.propose(wanted, entries, meta, a.top_n).persist()
     left = placement.unplaced(wanted, meta, rows)
     if a.json:
@@ -292,13 +300,14 @@ def parser() -> argparse.ArgumentParser:
     c = command("project", project)
     for name in ("--vault", "--pages", "--seeds", "--subfolder", "--moc"):
         c.add_argument(name)
-    c.add_argument("--max-pages", type=int, default=25)
-    c.add_argument("--max-hops", type=int, default=2)
-    c.add_argument("--hub-outdegree", type=int, default=40)
-    c.add_argument("--min-score", type=float, default=1.0)
+    usual = files.Settings()
+    c.add_argument("--max-pages", type=int, default=usual.max_pages)
+    c.add_argument("--max-hops", type=int, default=usual.max_hops)
+    c.add_argument("--hub-outdegree", type=int, default=usual.hub_outdegree)
+    c.add_argument("--min-score", type=float, default=usual.min_score)
     c.add_argument("--stubs", action="store_true")
     c.add_argument("--stub-min-refs", type=int, default=2)
-    c.add_argument("--label", default="page graph")
+    c.add_argument("--label", default=usual.origin_label)
     c.add_argument("--apply", action="store_true")
     c = command("reconcile", reconcile_page)
     for name in ("--desired", "--source", "--page", "--sidecar", "--manifest", "--out-dir"):
@@ -313,7 +322,11 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = build_session(app=f"foliograph {a.command}")
     spark.sparkContext.setLogLevel("ERROR")
-    return a.run(spark, a)
+    try:
+        return a.run(spark, a)
+    except Refused as e:
+        print(e, file=sys.stderr)
+        return 2
 
 
 if __name__ == "__main__":

@@ -211,10 +211,13 @@ def candidate_pages(neighbours: DataFrame, most: int = 25) -> DataFrame:
 
 def audit(
     entries: DataFrame, pages: DataFrame, neighbours: DataFrame | None, now: datetime, threshold_days: int = 180, known_modes: list[str] | None = None,
-    most_candidates: int = 25, raw_entries: DataFrame | None = None, known_fields: tuple[str, ...] = ENTRY_FIELDS,
+    most_candidates: int = 25, raw_entries: DataFrame | None = None, known_fields: tuple[str, ...] = ENTRY_FIELDS, names: DataFrame | None = None,
 ) -> DataFrame:
-    """All findings of all manifests. Entries are resolved once; ``raw_entries`` (with ``keys``) adds fields the schema doesn't have."""
-    placed = cut_lineage(resolve(entries.select("graph", "entry_index", "title", "file", "exclude", "redact", "filters"), pages))
+    """All findings of all manifests. Entries are resolved once; ``raw_entries`` (with ``keys``) adds fields the schema doesn't have.
+
+    ``names``: the pages without their content, if they can be had cheaper.
+    """
+    placed = cut_lineage(resolve(entries.select("graph", "entry_index", "title", "file", "exclude", "redact", "filters"), pages if names is None else names))
     parts = [entry_findings(placed), filter_findings(placed, known_modes), filter_cycles(placed), stale_blocks(placed, pages, now, threshold_days)]
     if raw_entries is not None:
         parts.append(unknown_fields(raw_entries, list(known_fields)))

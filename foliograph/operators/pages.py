@@ -10,19 +10,21 @@ from foliograph.functions.stages import staged
 from foliograph.sources import latest_rows, present
 
 
-def alive_pages(graph_pages: DataFrame) -> DataFrame:
+def alive_pages(graph_pages: DataFrame, text: bool = True) -> DataFrame:
     """(``graph``, ``title``, ``file``, ``page_id``, ``content``): the pages there now, one per title of a graph.
 
     Of several alive pages of one title the newest (then the greatest id) holds. Null content is empty text.
+    Without ``text`` there is no content, and no text is read or shuffled; what looks for pages by name needs none.
     """
-    rows = latest_rows(graph_pages, "page_id", ["graph_path", "title", "file", "raw_content", "created_at", "deleted_at"])
+    content = ["raw_content"] if text else []
+    rows = latest_rows(graph_pages, "page_id", ["graph_path", "title", "file", *content, "created_at", "deleted_at"])
     alive = rows.filter(F.col("deleted_at").isNull() & present(F.col("title")) & F.col("graph_path").isNotNull())
-    row = F.struct("file", "page_id", F.coalesce("raw_content", F.lit("")).alias("content"))
+    row = F.struct("file", "page_id", *[F.coalesce(c, F.lit("")).alias("content") for c in content])
     order = F.struct(F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp")), "page_id")
     return (
         alive.groupBy(F.col("graph_path").alias("graph"), "title")
         .agg(F.max_by(row, order).alias("r"))
-        .select("graph", "title", "r.file", "r.page_id", "r.content")
+        .select("graph", "title", "r.*")
     )
 
 

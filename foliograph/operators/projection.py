@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliograph.functions import text as T
 from foliograph.functions.stages import staged
@@ -76,16 +77,17 @@ def hydrated_bodies(pages: DataFrame, cache: DataFrame | None, sidecars: DataFra
 
 def site_records(
     entries: DataFrame, pages: DataFrame, rules: dict[str, dict] | None = None, cache: DataFrame | None = None, sidecars: DataFrame | None = None, hooks: dict | None = None,
-    render=None,
+    render=None, names: DataFrame | None = None,
 ) -> DataFrame:
     """(``graph``, ``slug``, ``data``, ``body``, ``digest``, ``html``): what the site stores, the last entry of a slug.
 
     ``hooks``: legacy redact mode to a function (title column, body column) to column; ignored where a filter
-    redacts. ``render``: body column to html column. Entries without a page are left out.
+    redacts. ``render``: body column to html column. ``names``: the pages without their content, if they can be had
+    cheaper. Entries without a page are left out.
     """
     rules = rules or {}
     shown = published_entries(entries)
-    placed = resolve(shown, pages).filter(F.col("page_file").isNotNull())
+    placed = resolve(shown, pages if names is None else names).filter(F.col("page_file").isNotNull())
     full = hydrated_bodies(pages.select("graph", "title", "file", "content"), cache, sidecars)
     spliced = full.select("graph", "title", F.when(F.col("hydration") == "cache", F.col("body")).otherwise(T.without_leading_properties(F.col("body"))).alias("text"))
     rows = placed.join(full.select("graph", F.col("file").alias("page_file"), "props", "body", "hydration"), ["graph", "page_file"])
@@ -113,9 +115,34 @@ def site_records(
     return done.withColumn("digest", F.sha2(F.concat(F.to_json("data"), F.lit("\n"), "body"), 256)).withColumn("html", html)
 
 
-def run_counts(entries: DataFrame, pages: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+#: The fields of a published record and whether each must be there; a site may give its own.
+RECORD_SCHEMA = StructType(
+    [StructField("title", StringType(), False), StructField("slug", StringType(), False), StructField("tier", StringType())]
+    + [StructField(field, StringType()) for field in RECORD_FIELDS]
+    + [StructField("backlinks", ArrayType(StringType()))]
+)
+
+
+def record_issues(records: DataFrame, schema: StructType = RECORD_SCHEMA, column: str = "data") -> DataFrame:
+    """(``graph``, ``slug``, ``field``, ``message``): required fields that are missing or empty, and fields of another type, of each record."""
+    have = {f.name: f.dataType for f in records.schema[column].dataType.fields}
+    found = []
+    for f in schema.fields:
+        issue = lambda m: F.struct(F.lit(f.name).alias("field"), F.lit(m).alias("message"))  # noqa: E731, B023
+        if f.name not in have:
+            found.append(F.when(F.lit(not f.nullable), issue("is required")))
+        elif have[f.name].simpleString() != f.dataType.simpleString():
+            found.append(F.when(F.col(column)[f.name].isNotNull(), issue(f"must be {f.dataType.simpleString()}")))
+        elif not f.nullable:
+            value = F.col(column)[f.name]
+            found.append(F.when(value.isNull() | (value.cast("string") == ""), issue("is required")))
+    each = records.select("graph", "slug", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return each.select("graph", "slug", "x.field", "x.message")
+
+
+def run_counts(entries: DataFrame, pages: DataFrame, cache: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """(``graph``, ``included``, ``excluded``, ``missing``, ``hydrated``, ``unhydrated``): what a run did."""
-    placed = resolve(entries, pages)
+    placed = resolve(entries, pages if names is None else names)
     state = hydrated_bodies(pages.select("graph", "title", "file", "content"), cache).select("graph", F.col("file").alias("page_file"), "hydration")
     out = F.coalesce("exclude", F.lit(False))
     there = F.col("page_file").isNotNull()
@@ -182,13 +209,13 @@ def vault_page(props: Column, body: Column, title: Column, source: Column, label
     return F.concat(join(head), F.lit("\n"), join(note), F.lit("\n\n"), X.vault_body(body), F.lit("\n"))
 
 
-def vault_plan(selection: DataFrame, pages: DataFrame, label: str = "page graph") -> DataFrame:
+def vault_plan(selection: DataFrame, pages: DataFrame, label: str = "page graph", names: DataFrame | None = None) -> DataFrame:
     """(``graph``, ``title``, ``vault_file``, ``missing``, ``text``) of the selected pages; missing ones have no text.
 
     ``selection``: (graph, title, group, and optionally file).
     """
     file = "file" if "file" in selection.columns else None
-    placed = resolve(selection, pages, file=file)
+    placed = resolve(selection, pages if names is None else names, file=file)
     parts = staged(
         pages.select("graph", F.col("file").alias("page_file"), "content"),
         ["graph", "page_file"],

@@ -84,22 +84,24 @@ def boundary(edges: DataFrame, nodes: DataFrame, selected: DataFrame) -> DataFra
     )
 
 
-def neighbours(pages: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
+def neighbours(pages: DataFrame, start: DataFrame, hops: int = 1, names: DataFrame | None = None) -> DataFrame:
     """(``graph``, ``title``, ``hop``): titles within ``hops`` links of ``start`` that have a page and aren't in it.
 
     ``pages``: (graph, title, file, content). Both ends of a link are found by the file names a title can have, as
     everywhere a title is looked up; links are all titles a page's text names, journal days that have a page included.
+    ``names``: the same pages without their content, if they can be had cheaper.
     """
+    names = pages if names is None else names
     start = start.select("graph", "title").distinct()
     linked = pages.filter(F.col("content").contains("[[")).select("graph", F.col("file").alias("page_file"), F.explode(T.links(F.col("content"))).alias("title"))
     found = None
     frontier = start
     for hop in range(1, hops + 1):
-        read = resolve(frontier, pages, file=None).filter(F.col("page_file").isNotNull()).select("graph", "page_file").distinct()
+        read = resolve(frontier, names, file=None).filter(F.col("page_file").isNotNull()).select("graph", "page_file").distinct()
         new = linked.join(read, ["graph", "page_file"], "left_semi").select("graph", "title").distinct().join(start, ["graph", "title"], "left_anti")
         if found is not None:
             new = new.join(found.select("graph", "title"), ["graph", "title"], "left_anti")
-        there = resolve(new, pages, file=None).filter(F.col("page_file").isNotNull())
+        there = resolve(new, names, file=None).filter(F.col("page_file").isNotNull())
         new = cut_lineage(there.select("graph", "title", F.lit(hop).alias("hop")))
         found = new if found is None else found.unionByName(new)
         frontier = new

@@ -104,3 +104,10 @@ def route_slug(x: str) -> str:
         narrow = f"replace({narrow}, '{joined}', '{letters}')"
     kept = rf"regexp_replace(strip_accents({narrow}), '[^A-Za-z0-9_\-\t\n\x0B\f\r \x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]+', '', 'g')"
     return f"substr(regexp_replace(regexp_replace(regexp_replace({kept}, '{BLANK}+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80)"
+
+
+#: Leading properties of pages; of a key that comes twice the last holds.
+PROPERTIES = rf"""
+    block AS (SELECT graph, title, string_split(regexp_extract(content, '\A(?:{LINE_BLANK}*\n)*((?:[A-Za-z0-9_-]+::[^\n\r\x{{2028}}\x{{2029}}]+(?:\n|\z))*)', 1), chr(10)) AS xs FROM pages),
+    row AS (SELECT graph, title, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM block),
+    props AS (SELECT graph, title, regexp_extract(x, '^([^:]+)::', 1) AS key, max_by({strip("regexp_extract(x, '^[^:]+::(.*)$', 1)")}, i) AS value FROM row WHERE x <> '' GROUP BY ALL)"""

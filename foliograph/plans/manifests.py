@@ -51,7 +51,7 @@ def r_valid(spark: SparkSession, base: str) -> DataFrame:
 
 def r_reference_issues(spark: SparkSession, base: str) -> DataFrame:
     """Entries of all manifests whose page isn't there, and manifests of graphs without pages."""
-    pages = P.alive_pages(load(spark, base, "graph_pages"))
+    pages = P.alive_pages(load(spark, base, "graph_pages"), text=False)
     return manifest.reference_issues(_rows(spark, base), pages, pages.select("graph").distinct())
 
 

@@ -6,11 +6,13 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliograph.functions import text as T
 from foliograph.operators import drift, placement, projection, subgraph, transform
 from foliograph.operators import pages as P
 from foliograph.plans import dialect as D
+from foliograph.session import cut_lineage
 from foliograph.sources import latest_rows, load, present
 
 #: The present of the queries that compare with it.
@@ -24,6 +26,15 @@ def _pages(spark: SparkSession, base: str) -> DataFrame:
     return P.alive_pages(load(spark, base, "graph_pages"))
 
 
+def _names(spark: SparkSession, base: str) -> DataFrame:
+    """The pages without their text."""
+    return P.alive_pages(load(spark, base, "graph_pages"), text=False)
+
+
+def _near(spark: SparkSession, base: str, entries: DataFrame) -> DataFrame:
+    return subgraph.neighbours(_pages(spark, base), entries, 1, cut_lineage(_names(spark, base).select("graph", "file").distinct()))
+
+
 def _entries(spark: SparkSession, base: str) -> DataFrame:
     columns = ["graph_path", "entry_index", "title", "tier", "backlinks", "exclude", "redact", "file", "filters"]
     rows = latest_rows(load(spark, base, "publish_entries"), "entry_id", columns)
@@ -36,7 +47,7 @@ def _bodies(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, base: str) -> DataFrame:
-    return P.resolve(_entries(spark, base), _pages(spark, base))
+    return P.resolve(_entries(spark, base), _names(spark, base))
 
 
 def _of_kind(findings: DataFrame, kind: str) -> DataFrame:
@@ -77,12 +88,12 @@ def r_hubs(spark: SparkSession, base: str) -> DataFrame:
 
 def r_resolved(spark: SparkSession, base: str) -> DataFrame:
     """The file of every manifest entry's page."""
-    return P.resolve(_entries(spark, base), _pages(spark, base)).select("graph", "entry_index", "title", "page_file")
+    return P.resolve(_entries(spark, base), _names(spark, base)).select("graph", "entry_index", "title", "page_file")
 
 
 def r_slugs(spark: SparkSession, base: str) -> DataFrame:
     """Slug and vault name of every title."""
-    t = _pages(spark, base).select("title").distinct()
+    t = _names(spark, base).select("title").distinct()
     return t.select("title", T.route_slug(F.col("title")).alias("slug"), T.vault_title(F.col("title")).alias("vault_title"))
 
 
@@ -91,31 +102,32 @@ def r_assets(spark: SparkSession, base: str) -> DataFrame:
     return _bodies(spark, base).select(F.explode(T.image_assets(F.col("content"))).alias("asset")).groupBy("asset").agg(F.count("*").alias("bodies"))
 
 
+def _graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, titles and the selection around the seeds; each text is read once."""
+    edges, nodes = cut_lineage(P.outlinks(_pages(spark, base))), cut_lineage(_names(spark, base).select("graph", "title"))
+    return edges, nodes, subgraph.select_subgraph(edges, nodes, _seeds(spark, base), hub_outdegree=12)
+
+
 def r_subgraph(spark: SparkSession, base: str) -> DataFrame:
     """Pages selected around the seeds of every manifest."""
-    pages = _pages(spark, base)
-    return subgraph.select_subgraph(P.outlinks(pages), pages, _seeds(spark, base), hub_outdegree=12)
+    return _graph(spark, base)[2]
 
 
 def r_boundary(spark: SparkSession, base: str) -> DataFrame:
     """Titles just outside those selections."""
-    pages = _pages(spark, base)
-    edges = P.outlinks(pages)
-    chosen = subgraph.select_subgraph(edges, pages, _seeds(spark, base), hub_outdegree=12)
-    return subgraph.boundary(edges, pages, chosen).select("graph", "title", "exists", "refs", F.array_join("referenced_by", "|").alias("referenced_by"))
+    edges, nodes, chosen = _graph(spark, base)
+    return subgraph.boundary(edges, nodes, chosen).select("graph", "title", "exists", "refs", F.array_join("referenced_by", "|").alias("referenced_by"))
 
 
 def r_neighbours(spark: SparkSession, base: str) -> DataFrame:
     """Pages one link away from a manifest that aren't in it."""
-    pages = _pages(spark, base)
-    return subgraph.neighbours(pages, _entries(spark, base), 1)
+    return _near(spark, base, _entries(spark, base))
 
 
 def r_audit(spark: SparkSession, base: str) -> DataFrame:
     """All drift findings of all manifests."""
-    pages, entries = _pages(spark, base), _entries(spark, base)
-    near = subgraph.neighbours(pages, entries, 1)
-    return drift.audit(entries, pages, near, NOW, known_modes=MODES)
+    entries = cut_lineage(_entries(spark, base))
+    return drift.audit(entries, _pages(spark, base), _near(spark, base, entries), NOW, known_modes=MODES, names=_names(spark, base))
 
 
 def r_ranked_findings(spark: SparkSession, base: str) -> DataFrame:
@@ -125,11 +137,9 @@ def r_ranked_findings(spark: SparkSession, base: str) -> DataFrame:
 
 def r_ranked_pages(spark: SparkSession, base: str) -> DataFrame:
     """The pages selected around the seeds, and the titles outside, in the order they are listed."""
-    pages = _pages(spark, base)
-    edges = P.outlinks(pages)
-    chosen = subgraph.select_subgraph(edges, pages, _seeds(spark, base), hub_outdegree=12)
+    edges, nodes, chosen = _graph(spark, base)
     inside = subgraph.ranked_pages(chosen).select("graph", "title", F.lit("page").alias("what"), "place")
-    outside = subgraph.ranked_boundary(subgraph.boundary(edges, pages, chosen)).select("graph", "title", F.lit("boundary").alias("what"), "place")
+    outside = subgraph.ranked_boundary(subgraph.boundary(edges, nodes, chosen)).select("graph", "title", F.lit("boundary").alias("what"), "place")
     return inside.unionByName(outside)
 
 
@@ -189,9 +199,9 @@ def r_sections(spark: SparkSession, base: str) -> DataFrame:
 
 def r_placement(spark: SparkSession, base: str) -> DataFrame:
     """The three best sections for every page a manifest's pages link to."""
-    pages, entries = _pages(spark, base), _entries(spark, base)
-    meta = P.page_metadata(pages)
-    return placement.propose(subgraph.neighbours(pages, entries, 1), entries, meta)
+    entries = cut_lineage(_entries(spark, base).select("graph", "title"))
+    meta = cut_lineage(P.page_metadata(_pages(spark, base)).select("graph", "title", "category", "tags", "wikilinks"))
+    return placement.propose(_near(spark, base, entries), entries, meta)
 
 
 def r_backlinks(spark: SparkSession, base: str) -> DataFrame:
@@ -204,19 +214,33 @@ def r_backlinks(spark: SparkSession, base: str) -> DataFrame:
 
 def r_published(spark: SparkSession, base: str) -> DataFrame:
     """What the site stores for every published entry."""
-    rows = projection.site_records(_entries(spark, base), _pages(spark, base), RULES)
+    rows = projection.site_records(_entries(spark, base), _pages(spark, base), RULES, names=_names(spark, base))
     return rows.select("graph", "slug", F.to_json("data").alias("data"), "body", "digest")
 
 
+def r_record_issues(spark: SparkSession, base: str) -> DataFrame:
+    """Pages that a site refuses whose schema asks for a title, a category and a type."""
+    schema = StructType([StructField(name, StringType(), False) for name in ("title", "category", "type")])
+    meta = P.page_metadata(_pages(spark, base))
+    rows = meta.select("graph", F.col("title").alias("slug"), F.struct("title", "category", "type", "tags").alias("data"))
+    return projection.record_issues(rows, schema)
+
+
+def r_filter_warnings(spark: SparkSession, base: str) -> DataFrame:
+    """Filters of all manifests that change nothing, and why."""
+    return transform.filter_warnings(_entries(spark, base), _names(spark, base), list(RULES))
+
+
 def r_run_counts(spark: SparkSession, base: str) -> DataFrame:
     """What a run over every manifest did."""
-    return projection.run_counts(_entries(spark, base), _pages(spark, base)).select("graph", "included", "excluded", "missing")
+    rows = projection.run_counts(_entries(spark, base), _pages(spark, base), names=_names(spark, base))
+    return rows.select("graph", "included", "excluded", "missing", "hydrated", "unhydrated")
 
 
 def r_vault(spark: SparkSession, base: str) -> DataFrame:
     """The vault page of every page of the graphs."""
-    pages = _pages(spark, base)
-    return projection.vault_plan(pages.select("graph", "title", "file"), pages)
+    names = cut_lineage(_names(spark, base).select("graph", "title", "file"))
+    return projection.vault_plan(names, _pages(spark, base), names=names)
 
 
 def r_vault_clean(spark: SparkSession, base: str) -> DataFrame:
@@ -232,7 +256,7 @@ def r_contents(spark: SparkSession, base: str) -> DataFrame:
 
 def r_dependencies(spark: SparkSession, base: str) -> DataFrame:
     """Files every published entry is made from."""
-    return projection.dependencies(_entries(spark, base), _pages(spark, base))
+    return projection.dependencies(_entries(spark, base), cut_lineage(_names(spark, base)))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("r_")}
@@ -333,10 +357,20 @@ SQL = {
     "r_backlinks": f"""WITH {D.ENTRIES}, x AS (SELECT DISTINCT graph, title FROM entries WHERE exclude),
             b AS (SELECT DISTINCT graph, entry_index, unnest(backlinks) AS link FROM entries)
         SELECT b.graph, entry_index, link FROM b JOIN x ON x.graph = b.graph AND x.title = b.link""",
-    "r_run_counts": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}
+    "r_run_counts": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.RESOLVED}, {D.PROPERTIES}, anchors AS (
+            SELECT graph, title FROM props GROUP BY ALL HAVING bool_or(key = 'type' AND value IN ('anchor', 'image-anchor')) AND bool_or(key = 'tg-doc' AND value <> '')),
+            state AS (SELECT p.graph, p.file, a.title IS NOT NULL AS missing FROM pages p LEFT JOIN anchors a ON a.graph = p.graph AND a.title = p.title)
         SELECT r.graph, count(*) FILTER (NOT coalesce(exclude, false) AND page_file IS NOT NULL) AS included, count(*) FILTER (coalesce(exclude, false)) AS excluded,
-               count(*) FILTER (NOT coalesce(exclude, false) AND page_file IS NULL) AS missing
-        FROM resolved r JOIN entries e ON e.graph = r.graph AND e.entry_index = r.entry_index AND e.title = r.title GROUP BY ALL""",
+               count(*) FILTER (NOT coalesce(exclude, false) AND page_file IS NULL) AS missing, 0::BIGINT AS hydrated, count(*) FILTER (NOT coalesce(exclude, false) AND s.missing) AS unhydrated
+        FROM resolved r JOIN entries e ON e.graph = r.graph AND e.entry_index = r.entry_index AND e.title = r.title LEFT JOIN state s ON s.graph = r.graph AND s.file = r.page_file GROUP BY ALL""",
+    "r_record_issues": f"""WITH {D.PAGES}, {D.META}
+        SELECT graph, title AS slug, 'category' AS field, 'is required' AS message FROM meta WHERE category IS NULL
+        UNION ALL SELECT graph, title, 'type', 'is required' FROM meta WHERE type IS NULL""",
+    "r_filter_warnings": f"""WITH {D.PAGES}, {D.ENTRIES}, f AS (
+            SELECT t.*, coalesce(prepend, append) AS ref FROM filt t JOIN entries e USING (graph, entry_index, title) WHERE NOT coalesce(e.exclude, false)),
+            w AS (SELECT f.graph, entry_index, pos::INT AS pos, CASE WHEN ref = f.title THEN 'splices itself' WHEN ref IS NOT NULL AND p.title IS NULL THEN 'no page ' || ref
+                         WHEN ref IS NULL AND mode NOT IN ('none', 'names') THEN 'no rules for ' || mode END AS warning FROM f LEFT JOIN pages p ON p.graph = f.graph AND p.title = f.ref)
+        SELECT * FROM w WHERE warning IS NOT NULL""",
     "r_hubs": f"WITH {D.PAGES}, {D.EDGES} SELECT graph, src AS title, count(*) AS degree FROM edge GROUP BY ALL HAVING count(*) > 4",
     "r_neighbours": f"WITH {D.PAGES}, {D.ENTRIES}, {D.META}, {D.NEAR} SELECT graph, title, 1 AS hop FROM near",
     "r_broken_filters": f"{_AUDITED} SELECT graph, id, detail FROM found WHERE kind = 'filter-reference-broken'",
@@ -351,10 +385,7 @@ SQL = {
     "r_subgraph": f"WITH {D.PAGES}, {D.ENTRIES}, {D.EDGES}, {_SELECTED} SELECT * FROM chosen",
     "r_boundary": f"""WITH {D.PAGES}, {D.ENTRIES}, {D.EDGES}, {_SELECTED}, {_EDGE_OF}
         SELECT b.graph, b.title, p.title IS NOT NULL AS exists, refs::INT AS refs, referenced_by FROM boundary b LEFT JOIN pages p ON p.graph = b.graph AND p.title = b.title""",
-    "r_properties": rf"""WITH {D.PAGES},
-            block AS (SELECT graph, title, string_split(regexp_extract(content, '\A(?:{D.LINE_BLANK}*\n)*((?:[A-Za-z0-9_-]+::[^\n\r\x{{2028}}\x{{2029}}]+(?:\n|\z))*)', 1), chr(10)) AS xs FROM pages),
-            row AS (SELECT graph, title, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM block)
-        SELECT graph, title, regexp_extract(x, '^([^:]+)::', 1) AS key, max_by({D.strip("regexp_extract(x, '^[^:]+::(.*)$', 1)")}, i) AS value FROM row WHERE x <> '' GROUP BY ALL""",
+    "r_properties": f"WITH {D.PAGES}, {D.PROPERTIES} SELECT * FROM props",
     "r_slugs": f"WITH {D.PAGES} SELECT DISTINCT title, {D.route_slug('title')} AS slug, {D.vault_title('title')} AS vault_title FROM pages",
     "r_contents": f"""WITH {D.ENTRIES},
             grp AS (SELECT graph, tier, min(entry_index) AS ord, string_agg('- [[' || {D.vault_title('title')} || ']]', chr(10) ORDER BY entry_index, title) AS rows FROM entries GROUP BY ALL)

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +23,16 @@ def write_texts(plan: DataFrame, folder: str, file: str = "vault_file", text: st
     if not apply:
         return rows.count()
 
-    def put(part) -> None:
-        for name, body in part:
-            target = os.path.join(folder, name)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            _replace(target, body)
+    def put(batches):
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                _replace(target, body)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["written"])
 
-    rows.foreachPartition(put)
-    return rows.count()
+    # The plan runs once: the tasks that write also count.
+    return rows.mapInArrow(put, "written bigint").agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"]
 
 
 def copy_assets(plan: DataFrame, source: str, target: str, apply: bool = False) -> list[str]:

@@ -79,7 +79,7 @@ def read_documents(spark: SparkSession, path: str, key: str = "manifest") -> Dat
 
 
 def patch_operations(documents: DataFrame, key: str = "manifest") -> DataFrame:
-    """(``key``, ``op_index``, op, title, field, value, entry, rationale) of patch files; files without a list give none."""
+    """(``key``, ``op_index``, op, title, field, value, entry, rationale) of patch files; what :func:`refused_patches` names gives none."""
     ops = F.try_variant_get(F.try_parse_json("json"), "$.operations", "array<variant>")
     rows = documents.select(key, F.posexplode(ops).alias("op_index", "o"))
     text = lambda name: F.try_variant_get("o", f"$.{name}", "string")
@@ -90,6 +90,13 @@ def patch_operations(documents: DataFrame, key: str = "manifest") -> DataFrame:
     )
 
 
+def refused_patches(documents: DataFrame, key: str = "manifest") -> DataFrame:
+    """(``key``, ``reason``) of patch files that can't be applied at all: no JSON, or operations that are no list."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), "$.operations", "variant"))
+    reason = F.when(F.try_parse_json("json").isNull(), "not JSON").when(~F.coalesce(kind.startswith("ARRAY"), F.lit(False)), "operations must be a list")
+    return documents.select(key, reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def page_list(documents: DataFrame) -> DataFrame:
     """(``ord``, title, file, group, tier) of a list of pages to project; the tier is 'projected' unless given."""
     kind = "array<struct<title:string,file:string,group:string,tier:string>>"

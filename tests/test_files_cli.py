@@ -61,6 +61,7 @@ def test_commands(spark, graph, capsys):
     assert cli.main(["apply", good, edit, "--log", str(graph / "log")]) == 0 and json.load(open(good))["entries"][0]["exclude"] is True
     assert spark.read.parquet(str(graph / "log")).count() == 1
     assert cli.main(["apply", good, document(graph / "q.json", {"operations": [{"op": "remove", "title": "Z", "rationale": "r"}]})]) == 1
+    assert cli.main(["apply", good, document(graph / "r.json", {"operations": {"op": "remove"}})]) == 2
     assert cli.main(["project", "--graph", g]) == 2
 
 

@@ -188,3 +188,28 @@ def test_placement_ties_and_reasons(spark):
     assert left == {"D": "category without overlap", "E": "no signal", "F": "no metadata"}
     text = {r["title"]: r["markdown"] for r in placement.proposal_markdown(got, placement.unplaced(wanted, meta, got)).collect()}
     assert "1. **Apple** (score 5)" in text["C"] and "Links to 1 page of" in text["C"] and "no signal" in text["E"]
+
+
+def test_neighbours_are_found_by_file_names(spark):
+    pages = spark.createDataFrame(
+        [("g", "A/B", "A___B.md", "[[2024-01-01]] [[C: d]] [[Lost]] [[" + "x" * 250 + "]]"), ("g", "2024-01-01", "2024-01-01.md", ""), ("g", "other", "C%3A d.md", "[[E]]"), ("g", "E", "E.md", "")],
+        "graph string, title string, file string, content string",
+    )
+    start = spark.createDataFrame([("g", "A/B")], "graph string, title string")
+    near = subgraph.neighbours(pages, start, 2)
+    assert {(r["title"], r["hop"]) for r in near.collect()} == {("2024-01-01", 1), ("C: d", 1), ("E", 2)}
+    assert subgraph.neighbours(pages.limit(0), start, 1).count() == 0
+
+
+def test_listed_orders(spark):
+    chosen = spark.createDataFrame([("g", "b", 1, 2.0), ("g", "a", 1, 2.0), ("g", "_", 1, 2.0), ("g", "z", 0, 1.0), ("g", "c", 1, 3.0)], "graph string, title string, hop int, score double")
+    assert [r["title"] for r in subgraph.ranked_pages(chosen).orderBy("place").collect()] == ["z", "c", "_", "a", "b"]
+    edge = spark.createDataFrame([("g", "b", 1), ("g", "A", 1), ("g", "c", 5)], "graph string, title string, refs int")
+    assert [r["title"] for r in subgraph.ranked_boundary(edge).orderBy("place").collect()] == ["c", "A", "b"]
+
+
+def test_audit_reports_unknown_fields(spark):
+    pages = pages_of(spark, {"Alpha": ""})
+    raw = spark.createDataFrame([("g", 0, "Alpha", ["title", "tier", "colour"])], "graph string, entry_index int, title string, keys array<string>")
+    found = drift.audit(entries_of(spark, "Alpha"), pages, None, datetime(2026, 5, 1, tzinfo=timezone.utc), raw_entries=raw).collect()
+    assert [(r["id"], r["severity"]) for r in found] == [("unknown-field:Alpha#colour", "info")]

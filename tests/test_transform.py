@@ -136,3 +136,18 @@ def test_frontmatter(spark):
     row = spark.createDataFrame([("T x", "seed", {"type": "note", "short": 'a "b"'}, ["L"])], "t string, tier string, p map<string,string>, b array<string>")
     text = row.select(projection.site_frontmatter(F.col("t"), F.col("tier"), F.col("p"), F.col("b")).alias("r")).first()["r"]
     assert text == '---\ntitle: "T x"\nslug: "t-x"\ntier: "seed"\ntype: "note"\nshort: "a \\\\\\"b\\\\\\""\nbacklinks:\n  - "L"\n---\n'
+
+
+def test_filters_a_host_adds():
+    shout = {"shout": lambda body, value, title, additions, rules: body.upper() + value}
+    filters = [{"prepend": None, "append": None, "redact": None, "shout": "!"}, {"prepend": "A", "append": None, "redact": None}]
+    assert X.filtered("x", "T", filters, {"A": "a"}, {}, shout) == "a\n\nX!"
+    assert X.filtered("x", "T", filters, {"A": "a"}, {}) == "a\n\nx"
+
+
+def test_record_issues(spark):
+    rows = spark.createDataFrame([("g", "a", ("A", "a", 1)), ("g", "", ("B", "", None)), ("g", "n", (None, "n", None))], "graph string, slug string, data struct<title:string,slug:string,tier:int>")
+    got = {(r["slug"], r["field"], r["message"]) for r in projection.record_issues(rows).collect()}
+    assert got == {("a", "tier", "must be string"), ("", "slug", "is required"), ("n", "title", "is required")}
+    bare = spark.createDataFrame([("g", "a", ("A",))], "graph string, slug string, data struct<title:string>")
+    assert [r["field"] for r in projection.record_issues(bare).collect()] == ["slug"]
