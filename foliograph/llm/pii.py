@@ -195,7 +195,20 @@ def _beside_contact(text: str, end: int, starts: dict[int, str]) -> bool:
 
 
 _FOUND = "array<struct<kind:string,begin:int,end:int,value:string>>"
-_NAMES = "array<struct<first:string,second:string,begin:int,end:int,framed:boolean,leads:boolean,own:int,value:string>>"
+_PAIRS = "array<struct<first:string,second:string,begin:int,end:int,framed:boolean,own:int,value:string>>"
+_TERMS = "array<struct<term:string,n:int,framed:int,leads:int>>"
+
+
+def counted(candidates: list[tuple[str, str, int, int, bool, bool, int]]) -> list[dict]:
+    """Terms by themselves with how often a text has them, in a frame and before another: all that is asked of them."""
+    terms: dict[str, list[int]] = {}
+    for _, term, begin, end, framed, leads, _ in candidates:
+        if begin == end:
+            row = terms.setdefault(term, [0, 0, 0])
+            row[0] += 1
+            row[1] += framed
+            row[2] += leads
+    return [{"term": t, "n": n, "framed": framed, "leads": leads} for t, (n, framed, leads) in terms.items()]
 
 
 def _last(loaded_at: str = "loaded_at", tie: Column | str = "tie") -> Column:
@@ -204,48 +217,50 @@ def _last(loaded_at: str = "loaded_at", tie: Column | str = "tie") -> Column:
 
 
 def inspect(records: DataFrame, key: str, text: str) -> DataFrame:
-    """(``key``, ``found``, ``names``): spans with a form and name candidates of the last delivery of each record.
+    """(``key``, ``found``, ``pairs``, ``terms``): spans with a form, pairs that could be names and counts of terms, of each record's last delivery.
 
     A delivery with a null or empty text counts as any other: if it is the last, the record has nothing.
     """
     kind = records.schema[key].dataType.simpleString()
     when = records.schema["loaded_at"].dataType.simpleString()
     found_type = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    name_type = pa.list_(
+    pair_type = pa.list_(
         pa.struct(
             [("first", pa.string()), ("second", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]
-            + [("framed", pa.bool_()), ("leads", pa.bool_()), ("own", pa.int32()), ("value", pa.string())]
+            + [("framed", pa.bool_()), ("own", pa.int32()), ("value", pa.string())]
         )
     )
+    term_type = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32()), ("framed", pa.int32()), ("leads", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, names = [], []
+            found, pairs, terms = [], [], []
             for body in batch.column(3).to_pylist():
                 spans = structured(body) if body else []
+                names = name_candidates(body, spans) if body else []
                 found.append([{"kind": k, "begin": a, "end": b, "value": body[a:b]} for k, a, b in spans])
-                names.append(
+                pairs.append(
                     [
-                        {"first": x, "second": y, "begin": a, "end": b, "framed": framed, "leads": leads, "own": own, "value": body[a:b]}
-                        for x, y, a, b, framed, leads, own in name_candidates(body, spans)
+                        {"first": x, "second": y, "begin": a, "end": b, "framed": framed, "own": own, "value": body[a:b]}
+                        for x, y, a, b, framed, _, own in names
+                        if b > a
                     ]
-                    if body
-                    else []
                 )
+                terms.append(counted(names))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(found, found_type), pa.array(names, name_type)],
-                names=[key, "loaded_at", "tie", "found", "names"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(found, found_type), pa.array(pairs, pair_type), pa.array(terms, term_type)],
+                names=[key, "loaded_at", "tie", "found", "pairs", "terms"],
             )
 
     rows = (
         records.filter(F.col(key).isNotNull())
         .select(F.col(key), F.col("loaded_at"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-        .mapInArrow(run, f"{key} {kind}, loaded_at {when}, tie bigint, found {_FOUND}, names {_NAMES}")
+        .mapInArrow(run, f"{key} {kind}, loaded_at {when}, tie bigint, found {_FOUND}, pairs {_PAIRS}, terms {_TERMS}")
     )
     return (
         rows.groupBy(key)
-        .agg(F.max_by(F.struct("found", "names"), _last()).alias("x"))
-        .select(key, F.col("x.found").alias("found"), F.col("x.names").alias("names"))
+        .agg(F.max_by(F.struct("found", "pairs", "terms"), _last()).alias("x"))
+        .select(key, "x.found", "x.pairs", "x.terms")
     )
 
 
@@ -254,24 +269,24 @@ def _disclosure(together: Column, term: Column, frame: Column, every: Column) ->
     return F.when(together > 0, F.log2(together * every / (term * frame)))
 
 
-def family_terms(candidates: DataFrame, threshold: float, least_share: float) -> DataFrame:
+def family_terms(alone: DataFrame, pairs: DataFrame, threshold: float, least_share: float) -> DataFrame:
     """(``term``, ``bits``): terms that reveal a family by the frames they occur in.
 
-    ``threshold`` is a share of the most a frame can tell, minus the logarithm of how frequent frames are.
-    ``least_share`` of a term's own occurrences must be framed, so that a frequent word isn't taken for a name
-    because of a stray frame, and at most half of them may lead another term. Pairs count for their second
-    term, beside the term alone.
+    ``alone``: (term, n, framed, leads), counts of all terms; ``pairs``: (second, framed). ``threshold`` is a share of
+    the most a frame can tell, minus the logarithm of how frequent frames are. ``least_share`` of a term's own
+    occurrences must be framed, so that a frequent word isn't taken for a name because of a stray frame, and at most
+    half of them may lead another term. Pairs count for their second term, beside the term alone.
     """
-    uses = candidates.groupBy(F.col("second").alias("term")).agg(
-        F.sum((F.col("begin") == F.col("end")).cast("long")).alias("n"),
-        F.sum(F.col("framed").cast("long")).alias("framed"),
-        F.sum(F.col("leads").cast("long")).alias("leads"),
-    )
+    of_pairs = pairs.filter("framed").groupBy(F.col("second").alias("term")).agg(F.count("*").alias("framed"))
+    none = F.lit(0).cast("long")
+    uses = alone.select("term", "n", "framed", "leads").unionByName(of_pairs.select("term", none.alias("n"), "framed", none.alias("leads")))
+    uses = uses.groupBy("term").agg(F.sum("n").alias("n"), F.sum("framed").alias("framed"), F.sum("leads").alias("leads"))
     totals = uses.agg(F.sum("n").alias("all"), F.sum("framed").alias("frames"))
     every, frames = totals.select("all").scalar(), totals.select("frames").scalar()
     bits = _disclosure(F.col("framed"), F.col("n"), frames, every)
     return (
-        uses.select("term", "n", "framed", "leads", bits.alias("bits"))
+        uses.filter(F.col("n") > 0)
+        .select("term", "n", "framed", "leads", bits.alias("bits"))
         .filter(F.col("leads") * 2 <= F.col("n"))
         .filter((F.col("bits") >= -F.log2(frames / every) * threshold) & (F.col("framed") >= F.col("n") * least_share))
         .select("term", "bits")
@@ -280,7 +295,7 @@ def family_terms(candidates: DataFrame, threshold: float, least_share: float) ->
 
 def given_terms(with_family: DataFrame, alone: DataFrame, threshold: float, least_share: float) -> DataFrame:
     """(``term``, ``bits``): terms that reveal a given name by standing with families, as the pairs of ``with_family`` do."""
-    uses = alone.groupBy(F.col("second").alias("term")).agg(F.count("*").alias("n"))
+    uses = alone.select("term", "n")
     met = with_family.filter(F.col("first") != "").groupBy(F.col("first").alias("term")).agg(F.count("*").alias("together"))
     every = uses.agg(F.sum("n")).scalar()
     framed = met.agg(F.sum("together")).scalar()
@@ -330,10 +345,11 @@ def find_names(
     seen: DataFrame, key: str, records: DataFrame, text: str, threshold: float = 0.27, family_share: float = 0.05, given_share: float = 0.5
 ) -> DataFrame:
     """(``key``, ``begin``, ``end``, ``value``) of the names among the candidates of ``seen``, read from ``text`` of ``records``."""
-    candidates = seen.select(F.col(key), F.explode("names").alias("c")).select(key, "c.*")
-    families = cut_lineage(family_terms(candidates.select("second", "begin", "end", "framed", "leads"), threshold, family_share))
-    pairs = candidates.filter(F.col("end") > F.col("begin")).select(key, "first", "second", "begin", "end", "value", "own")
-    alone = candidates.filter(F.col("end") == F.col("begin")).select("second")
+    candidates = seen.select(F.col(key), F.explode("pairs").alias("c")).select(key, "c.*")
+    terms = seen.select(F.explode("terms").alias("t")).groupBy("t.term")
+    alone = cut_lineage(terms.agg(*[F.sum(f"t.{c}").alias(c) for c in ("n", "framed", "leads")]))
+    families = cut_lineage(family_terms(alone, candidates.select("second", "framed"), threshold, family_share))
+    pairs = candidates.select(key, "first", "second", "begin", "end", "value", "own")
     revealed = cut_lineage(own_frames(pairs, families, records, text))
     learned = pairs.join(families.select(F.col("term").alias("second")), "second", "left_semi")
     places = [key, "begin", "end", "value"]
