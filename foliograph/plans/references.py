@@ -70,12 +70,13 @@ SQL = {
     "p5_cascade": f"""WITH RECURSIVE {_COMMON},
         edge AS (SELECT DISTINCT src_table, record_id, n.page_id
                  FROM refs JOIN n ON n.g = refs.g AND n.kind = refs.kind AND n.name = refs.ref AND c <= t AND (d IS NULL OR d > t)),
-        walk AS (
-            SELECT DISTINCT src_table, record_id, 0 AS round FROM o
+        -- Each record keeps the round it was first found in; the recursion ends when a round finds none that is new.
+        walk(src_table, record_id, round) USING KEY (src_table, record_id) AS (
+            SELECT DISTINCT src_table, record_id, 0 FROM o
             UNION
-            SELECT edge.src_table, edge.record_id, walk.round + 1
+            SELECT DISTINCT edge.src_table, edge.record_id, walk.round + 1
             FROM walk JOIN edge ON walk.src_table = 'page_metadata' AND edge.page_id = walk.record_id
-            WHERE walk.round < 12)
+            WHERE NOT EXISTS (SELECT 1 FROM recurring.walk AS r WHERE r.src_table = edge.src_table AND r.record_id = edge.record_id))
         SELECT src_table, record_id, CASE WHEN min(round) = 0 THEN 'direct' ELSE 'inherited' END AS orphan,
                CAST(min(round) AS INT) AS round
         FROM walk GROUP BY src_table, record_id""",
